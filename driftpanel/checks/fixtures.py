@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftpanel.operators.joins import left_join
 from driftpanel.operators.panel import add_density
@@ -44,8 +45,15 @@ TRACT_SPEC = PanelSpec(
 _UNIT_KEYS = {"supplier": "l_suppkey", "part": "l_partkey"}
 
 
+# Schema per path, so a table's footer is read once.
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def shipped_in(years: tuple[int, ...]) -> Column:
@@ -163,9 +171,7 @@ def band_counts(spark: SparkSession, sf_dir: str, unit: str = "supplier") -> Dat
     name, key, text = _label(unit)
     lines = _banded(table(spark, sf_dir, "lineitem"), _UNIT_KEYS[unit], PERIODS)
     sums = [
-        F.sum(
-            F.when((F.col("year") == p) & (F.col("band") == i), F.col("l_quantity"))
-        ).alias(f"{b}_{p}")
+        F.expr(f"sum(CASE WHEN year = {p} AND band = {i} THEN l_quantity END) AS {b}_{p}")
         for p in PERIODS
         for i, b in enumerate(BANDS, 1)
     ]
@@ -190,9 +196,7 @@ def type_counts(spark: SparkSession, sf_dir: str, unit: str = "supplier") -> Dat
     kinds = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     typed = summed.join(kinds, "p_partkey")
     sums = [
-        F.sum(F.when((F.col("year") == p) & (F.col("p_type") == t), F.col("quantity"))).alias(
-            f"{t}{p}"
-        )
+        F.expr(f"sum(CASE WHEN year = {p} AND p_type = '{t}' THEN quantity END) AS {t}{p}")
         for p in PERIODS
         for t in TYPES
     ]
@@ -207,9 +211,7 @@ def year_bands(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return lines.groupBy(F.col("_key").alias("tract20l")).agg(
         F.first("year").alias("YEAR"),
         *[
-            F.coalesce(
-                F.sum(F.when(F.col("band") == i, F.col("l_quantity"))), F.lit(0.0)
-            ).alias(b)
+            F.expr(f"coalesce(sum(CASE WHEN band = {i} THEN l_quantity END), 0D) AS {b}")
             for i, b in enumerate(BANDS, 1)
         ],
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftpanel.functions.scalars import quoted
+
 
 def pair_moments(y: str, x: str) -> list[Column]:
     """n, means and centred sums over rows where both are present."""
@@ -27,11 +29,11 @@ def correlation(y: str, x: str, strict: bool = False) -> Column:
 
     ``strict`` gives NULL as soon as one pair is incomplete.
     """
-    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-    r = F.try_divide(F.regr_sxy(y, x), spread)
+    pair = f"({quoted(y)}, {quoted(x)})"
+    r = f"try_divide(regr_sxy{pair}, sqrt(regr_sxx{pair} * regr_syy{pair}))"
     if strict:
-        return F.when(F.count("*") == F.regr_count(y, x), r)
-    return r
+        r = f"CASE WHEN count(*) = regr_count{pair} THEN {r} END"
+    return F.expr(r)
 
 
 def level_stats(y: str, factor: str, level: object, tag: str) -> list[Column]:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,14 +33,19 @@ def log_floored(x: Column, floor: float = 1e-10) -> Column:
     return F.when(x.isNotNull(), F.ln(F.greatest(x, F.lit(floor))))
 
 
-def row_sum(columns: Sequence[str]) -> Column:
-    """Sum across columns; any NULL makes the sum NULL."""
-    return reduce(add, [F.col(c) for c in columns])
+def quoted(name: str) -> str:
+    """Column name for use inside an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def share(part: Column, total: Column) -> Column:
-    """Percentage of a total; NULL when the total is 0."""
-    return F.try_divide(part, total) * 100
+def row_sum(columns: Sequence[str]) -> str:
+    """Sum across columns, as SQL text; any NULL makes the sum NULL."""
+    return "(" + " + ".join(quoted(c) for c in columns) + ")"
+
+
+def share(part: str, total: str) -> str:
+    """Percentage of a total, as SQL text; NULL when the total is 0."""
+    return f"try_divide({quoted(part)}, {quoted(total)}) * 100"
 
 
 def rounded(column: Column, digits: int | None) -> Column:

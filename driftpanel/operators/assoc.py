@@ -45,12 +45,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[correlation(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs],
     )
     cells = [
-        F.struct(
-            F.lit(columns[i]).alias("row"),
-            F.lit(columns[j]).alias("column"),
-            F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"),
-        )
-        for i in range(len(columns))
-        for j in range(len(columns))
+        f"named_struct('row', '{a}', 'column', '{b}', 'r', r{min(i, j)}_{max(i, j)})"
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
     ]
-    return record.select("n", F.inline(F.array(*cells)))
+    return record.selectExpr("n", f"inline(array({', '.join(cells)}))")

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftpanel.functions.scalars import normalize_id, row_sum, share
+from driftpanel.functions.scalars import normalize_id, quoted, row_sum, share
 
 # Five-year age bands and the groups they form.
 AGE_GROUPS = {
@@ -58,17 +57,14 @@ def _with_sums(
     Sums and totals are columns of their own, so later expressions refer to them instead of
     repeating the additions.
     """
-    sums = df.select(
-        normalize_id(id_column).alias(unit),
-        *[
-            row_sum([name(band, p) for band in groups[g]]).alias(f"_{g}_{p}")
-            for g in groups
-            for p in periods
-        ],
-    )
-    return sums.withColumns(
-        {f"_total_{p}": row_sum([f"_{g}_{p}" for g in groups]) for p in periods}
-    )
+    sums = [
+        f"{row_sum([name(band, p) for band in groups[g]])} AS `_{g}_{p}`"
+        for g in groups
+        for p in periods
+    ]
+    totals = [f"{row_sum([f'_{g}_{p}' for g in groups])} AS `_total_{p}`" for p in periods]
+    rows = df.withColumn("_unit", normalize_id(id_column))
+    return rows.selectExpr(f"_unit AS {quoted(unit)}", *sums).selectExpr("*", *totals)
 
 
 def shares_long(
@@ -83,16 +79,13 @@ def shares_long(
 
     All periods come out of one scan of the wide table.
     """
-    rows = [
-        F.struct(
-            F.lit(p).alias("year"),
-            F.col(f"_total_{p}").alias("total_pop"),
-            *[share(F.col(f"_{g}_{p}"), F.col(f"_total_{p}")).alias(f"pct_{g}") for g in groups],
-        )
-        for p in periods
-    ]
     sums = _with_sums(df, id_column, groups, periods, name, unit)
-    return sums.select(unit, F.inline(F.array(*rows)))
+    records = []
+    for p in periods:
+        fields = [f"'year', {p}", f"'total_pop', `_total_{p}`"]
+        fields += [f"'pct_{g}', {share(f'_{g}_{p}', f'_total_{p}')}" for g in groups]
+        records.append(f"named_struct({', '.join(fields)})")
+    return sums.selectExpr(quoted(unit), f"inline(array({', '.join(records)}))")
 
 
 def shares_by_union(
@@ -108,16 +101,19 @@ def shares_by_union(
     return reduce(DataFrame.unionByName, parts)
 
 
-def delta_chi(before: Sequence[Column], after: Sequence[Column]) -> Column:
-    """Symmetric chi-square distance between two compositions given as proportions.
+def delta_chi(before: Sequence[str], after: Sequence[str]) -> str:
+    """Symmetric chi-square distance between two compositions given as proportion columns.
 
-    A missing proportion, as in a unit whose total is empty in one period, adds 0.
+    SQL text. A missing proportion, as in a unit whose total is empty in one period, adds 0.
     """
     terms = []
-    for p1, p2 in zip(before, after):
-        middle = (p1 + p2) / 2
-        terms.append(F.when(middle > 0, (p2 - p1) * (p2 - p1) / middle).otherwise(0.0))
-    return reduce(add, terms)
+    for b, a in zip(before, after):
+        p1, p2 = quoted(b), quoted(a)
+        terms.append(
+            f"CASE WHEN {p1} + {p2} > 0 THEN ({p2} - {p1}) * ({p2} - {p1}) / (({p1} + {p2}) / 2) "
+            "ELSE 0D END"
+        )
+    return " + ".join(terms)
 
 
 def composition_wide(
@@ -138,35 +134,24 @@ def composition_wide(
     ``empty_as_null``.
     """
     base, target = periods
-    level = _with_sums(df, id_column, groups, periods, name, unit).withColumns(
-        {
-            f"_share_{g}_{p}": F.try_divide(F.col(f"_{g}_{p}"), F.col(f"_total_{p}"))
-            for g in groups
-            for p in periods
-        }
-    )
+    proportions = [
+        f"try_divide(`_{g}_{p}`, `_total_{p}`) AS `_share_{g}_{p}`" for g in groups for p in periods
+    ]
+    level = _with_sums(df, id_column, groups, periods, name, unit).selectExpr("*", *proportions)
     chi = delta_chi(
-        [F.col(f"_share_{g}_{base}") for g in groups],
-        [F.col(f"_share_{g}_{target}") for g in groups],
+        [f"_share_{g}_{base}" for g in groups], [f"_share_{g}_{target}" for g in groups]
     )
     if empty_as_null:
-        chi = F.when((F.col(f"_total_{base}") > 0) & (F.col(f"_total_{target}") > 0), chi)
-    deltas = [
-        ((F.col(f"_share_{g}_{target}") - F.col(f"_share_{g}_{base}")) * 100).alias(
-            f"delta_pct_{g}"
-        )
-        for g in groups
+        chi = f"CASE WHEN `_total_{base}` > 0 AND `_total_{target}` > 0 THEN {chi} END"
+    columns = [f"`_total_{p}` AS `{total}_{p}`" for p in periods]
+    columns += [f"`_share_{g}_{p}` * 100 AS `pct_{g}_{p}`" for g in groups for p in periods]
+    columns.append(f"{chi} AS `delta_chi_{tag}`")
+    columns += [
+        f"(`_share_{g}_{target}` - `_share_{g}_{base}`) * 100 AS `delta_pct_{g}`" for g in groups
     ]
     if delta_total:
-        change = F.col(f"_total_{target}") - F.col(f"_total_{base}")
-        deltas.append(change.alias(delta_total))
-    return level.select(
-        unit,
-        *[F.col(f"_total_{p}").alias(f"{total}_{p}") for p in periods],
-        *[(F.col(f"_share_{g}_{p}") * 100).alias(f"pct_{g}_{p}") for g in groups for p in periods],
-        chi.alias(f"delta_chi_{tag}"),
-        *deltas,
-    )
+        columns.append(f"`_total_{target}` - `_total_{base}` AS `{delta_total}`")
+    return level.selectExpr(quoted(unit), *columns)
 
 
 def share_columns(groups: Groups, period: int) -> list[str]:
@@ -179,4 +164,4 @@ def delta_columns(groups: Groups) -> list[str]:
 
 def mean_columns(columns: Sequence[str], prefix: str = "mean_") -> list[Column]:
     """One mean per column, named from it."""
-    return [F.avg(c).alias(f"{prefix}{c}") for c in columns]
+    return [F.expr(f"avg({quoted(c)}) AS {quoted(prefix + c)}") for c in columns]

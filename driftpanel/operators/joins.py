@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftpanel.functions.scalars import quoted
 from driftpanel.session import materialize
 
 # Largest per-group table (coefficients, breaks, scenarios) that may be broadcast.
@@ -111,7 +112,4 @@ def full_join(left: DataFrame, right: DataFrame, on: str, null_keys: str = "matc
 
 def all_present(columns: Sequence[str]) -> Column:
     """True where none of the columns is NULL."""
-    present = F.lit(True)
-    for name in columns:
-        present = present & F.col(name).isNotNull()
-    return present
+    return F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns) or "true")

@@ -5,16 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpanel.functions.scalars import quoted
 from driftpanel.operators.joins import all_present
 
 
-def _level_tag(level: object) -> str:
-    return str(level)
-
-
 def spread(
     df: DataFrame,
     ids: Sequence[str],
@@ -30,21 +27,19 @@ def spread(
     aggregate needs one shuffle. Two rows for one cell are an error, raised by the plan itself.
     """
     kept = df.filter(F.col(names_from).isin(list(levels))).select(*ids, names_from, *values)
+    key_text = ", ".join(quoted(i) for i in ids)
     cells = []
-    for value in values:
-        for level in levels:
-            here = F.col(names_from) == F.lit(level)
-            repeats = F.count(F.when(here, F.lit(1)))
-            message = F.concat_ws(
-                " ", F.lit(f"more than one row for {names_from}={level} at"), *[F.col(i) for i in ids]
-            )
-            cell = F.max(F.when(here, F.col(value)))
+    for level in levels:
+        text = str(level).replace("'", "''")
+        here = f"{quoted(names_from)} = " + (f"'{text}'" if isinstance(level, str) else text)
+        message = f"concat_ws(' ', 'more than one row for {names_from} {text} at', {key_text})"
+        for value in values:
             cells.append(
-                F.when(repeats > 1, F.raise_error(message)).otherwise(cell).alias(
-                    name(value, _level_tag(level))
-                )
+                f"CASE WHEN count_if({here}) > 1 THEN raise_error({message}) "
+                f"ELSE max(CASE WHEN {here} THEN {quoted(value)} END) END "
+                f"AS {quoted(name(value, str(level)))}"
             )
-    wide = kept.groupBy(*ids).agg(*cells)
+    wide = kept.groupBy(*ids).agg(*[F.expr(c) for c in cells])
     if drop_incomplete:
         wide = wide.filter(all_present([c for c in wide.columns if c not in ids]))
     return wide
@@ -86,18 +81,15 @@ def gather_by_period(
     measures = list(dict.fromkeys(m.group(1) for m in found.values()))
     by_cell = {(m.group(1), m.group(2)): c for c, m in found.items()}
 
-    def cell(measure: str, p: str) -> Column:
+    def cell(measure: str, p: str) -> str:
         source = by_cell.get((measure, p))
-        kind = df.schema[next(c for (m, _), c in by_cell.items() if m == measure)].dataType
-        return (F.col(source) if source else F.lit(None)).cast(kind).alias(measure)
-
-    rows = F.array(
-        *[
-            F.struct(F.lit(int(p)).alias(period), *[cell(m, p) for m in measures])
-            for p in periods
-        ]
-    )
-    return df.select(*ids, F.inline(rows))
+        return f"'{measure}', " + (quoted(source) if source else "NULL")
+
+    records = [
+        f"named_struct('{period}', {int(p)}, {', '.join(cell(m, p) for m in measures)})"
+        for p in periods
+    ]
+    return df.selectExpr(*[quoted(i) for i in ids], f"inline(array({', '.join(records)}))")
 
 
 def transpose(

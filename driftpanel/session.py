@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call-site capture costs more than planning for tables with many columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # One fallback folder per application, used only in local mode.
