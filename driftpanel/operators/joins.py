@@ -54,8 +54,11 @@ def attach(
         )
     local = gather_small(per_group, limit)
     if local is not None:
-        return rows.join(F.broadcast(local), on, how)
-    return salted_join(rows, per_group, on, how)
+        joined = rows.join(F.broadcast(local), on, how)
+    else:
+        joined = salted_join(rows, per_group, on, how)
+    added = [c for c in per_group.columns if c not in on]
+    return joined.select(*rows.columns, *added)
 
 
 def salted_join(
@@ -86,7 +89,7 @@ def keep_scenarios(
     table = scenario_table(df.sparkSession, scenarios, keys)
     if len(scenarios) <= SMALL_ROWS:
         table = F.broadcast(table)
-    return df.join(table, list(keys), "left_semi")
+    return df.join(table, list(keys), "left_semi").select(*df.columns)
 
 
 def left_join(rows: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
