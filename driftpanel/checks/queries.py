@@ -11,7 +11,7 @@ from driftpanel.checks import fixtures as fx
 from driftpanel.functions.scalars import normalize_id, scenario_name
 from driftpanel.operators import assoc, bins, chartdata, compose, geometry, infer, ols, panel
 from driftpanel.operators import residual, sample
-from driftpanel.operators.joins import full_join, keep_scenarios, scenario_table
+from driftpanel.operators.joins import full_join, keep_matching, scenario_table
 from driftpanel.operators.reshape import (
     add_suffix,
     columns_matching,
@@ -119,7 +119,9 @@ def scenario_grid(spark, sf):
 
 @query
 def semi_join_scenarios(spark, sf):
-    rows = keep_scenarios(fx.unit_panel(spark, sf, "part"), BLOCK_SCENARIOS)
+    keys = ["season", "buffer"]
+    table = scenario_table(spark, BLOCK_SCENARIOS, keys)
+    rows = keep_matching(fx.unit_panel(spark, sf, "part"), table, keys)
     return report(rows.select("unit", "season", "buffer", "year", "y", "hu"))
 
 

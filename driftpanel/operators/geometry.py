@@ -45,24 +45,39 @@ def polygon_area_from_vertices(
 ) -> DataFrame:
     """Area per unit from a vertex table, holes and parts by ring orientation.
 
-    Each vertex meets its successor by an equi-join on (unit, ring, position), so even a ring
-    with very many vertices is spread over all tasks; sums combine map-side.
+    Positions in a ring are consecutive. Each vertex meets its successor by an equi-join on
+    (unit, ring, position), so even a ring with very many vertices is spread over all tasks; the
+    sums, and the closing edge from last to first vertex, combine map-side. A gap in the
+    positions is an error.
     """
     keys = [*ids, ring]
-    last = vertices.groupBy(*keys).agg(
-        F.max(seq).alias("_last"), F.min(seq).alias("_first"),
-        F.min_by("x", seq).alias("_x0"), F.min_by("y", seq).alias("_y0"),
-    )
-    placed = vertices.join(last, keys)
-    step = F.when(F.col(seq) == F.col("_last"), F.col("_first")).otherwise(F.col(seq) + 1)
     after = vertices.select(
-        *keys, F.col(seq).alias("_next"), F.col("x").alias("_x"), F.col("y").alias("_y")
+        *keys, (F.col(seq) - 1).alias(seq), F.col("x").alias("_x"), F.col("y").alias("_y")
+    )
+    edges = vertices.join(after, [*keys, seq], "left")
+
+    def strip(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return (x1 - x0) * (y0 + y1) / 2
+
+    step = strip(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+    rings = edges.groupBy(*keys).agg(
+        F.sum(step).alias("_open"),
+        F.count("*").alias("_vertices"),
+        F.count("_x").alias("_edges"),
+        *[
+            pick(c, seq).alias(f"_{name}_{c}")
+            for name, pick in (("first", F.min_by), ("last", F.max_by))
+            for c in ("x", "y")
+        ],
+    )
+    closing = strip(
+        F.col("_last_x"), F.col("_last_y"), F.col("_first_x"), F.col("_first_y")
+    )
+    gap = F.raise_error(F.concat_ws(" ", F.lit("vertex positions have gaps in ring"), *keys))
+    signed = F.when(F.col("_edges") != F.col("_vertices") - 1, gap).otherwise(
+        F.coalesce("_open", F.lit(0.0)) + closing
     )
-    edges = placed.withColumn("_next", step).join(after, [*keys, "_next"])
-    cross = (F.col("x") - F.col("_x0")) * (F.col("_y") - F.col("_y0")) - (
-        F.col("_x") - F.col("_x0")
-    ) * (F.col("y") - F.col("_y0"))
-    area = F.abs(F.sum(cross) / 2) * F.lit(unit_in_m * unit_in_m)
-    return edges.groupBy(*ids).agg(area.alias("area_m2")).withColumn(
+    area = F.abs(F.sum(signed)) * F.lit(unit_in_m * unit_in_m)
+    return rings.groupBy(*ids).agg(area.alias("area_m2")).withColumn(
         "area_ha", F.col("area_m2") / M2_PER_HA
     )

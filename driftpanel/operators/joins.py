@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,10 @@ def gather_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
 
     Fetches at most ``limit + 1`` rows, so the check itself is bounded.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -77,19 +78,32 @@ def scenario_table(
     spark: SparkSession, scenarios: Sequence[tuple[str, int]], keys: Sequence[str]
 ) -> DataFrame:
     """Inline table of (season, buffer) pairs."""
-    return spark.createDataFrame(
-        [tuple(s) for s in scenarios], f"{keys[0]} string, {keys[1]} int"
-    )
+    columns = {
+        keys[0]: pa.array([s for s, _ in scenarios], pa.string()),
+        keys[1]: pa.array([b for _, b in scenarios], pa.int32()),
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
+def keep_matching(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left semi join to a key table, broadcast when it proves small.
+
+    A larger one is joined by shuffle, with AQE splitting hot keys.
+    """
+    local = gather_small(table.select(*keys).distinct())
+    kept = df.join(F.broadcast(local) if local is not None else table, list(keys), "left_semi")
+    return kept.select(*df.columns)
 
 
 def keep_scenarios(
     df: DataFrame, scenarios: Sequence[tuple[str, int]], keys: Sequence[str] = ("season", "buffer")
 ) -> DataFrame:
-    """Left semi join on the listed scenarios; the list's own length bounds the broadcast."""
-    table = scenario_table(df.sparkSession, scenarios, keys)
-    if len(scenarios) <= SMALL_ROWS:
-        table = F.broadcast(table)
-    return df.join(table, list(keys), "left_semi").select(*df.columns)
+    """Semi join on a literal list of scenarios, as a predicate the scan can use."""
+    season, buffer = keys
+    match = F.lit(False)
+    for s, b in scenarios:
+        match = match | ((F.col(season) == s) & (F.col(buffer) == b))
+    return df.filter(match)
 
 
 def left_join(rows: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -97,20 +111,29 @@ def left_join(rows: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataF
     return rows.join(dimension, list(on), "left")
 
 
-def full_join(left: DataFrame, right: DataFrame, on: str, null_keys: str = "match") -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: str, null_keys: str = "keep") -> DataFrame:
     """Full outer join with one coalesced key column.
 
-    ``null_keys="match"`` pairs NULL keys with each other; ``"drop"`` removes such rows first.
+    ``null_keys="keep"`` keeps rows without a key, unmatched, and spreads them over all tasks.
+    ``"match"`` pairs every left one with every right one, which is only sensible when they are
+    few. ``"drop"`` removes them.
     """
     if null_keys == "drop":
         return left.filter(F.col(on).isNotNull()).join(
             right.filter(F.col(on).isNotNull()), on, "full"
         )
-    if null_keys != "match":
-        raise ValueError("null_keys must be 'match' or 'drop'")
-    other = right.withColumnRenamed(on, "_right_key")
-    joined = left.join(other, F.col(on).eqNullSafe(F.col("_right_key")), "full")
-    return joined.withColumn(on, F.coalesce(on, "_right_key")).drop("_right_key")
+    if null_keys == "match":
+        other = right.withColumnRenamed(on, "_right_key")
+        joined = left.join(other, F.col(on).eqNullSafe(F.col("_right_key")), "full")
+        return joined.withColumn(on, F.coalesce(on, "_right_key")).drop("_right_key")
+    if null_keys != "keep":
+        raise ValueError("null_keys must be 'keep', 'match' or 'drop'")
+
+    def spread_nulls(df: DataFrame) -> DataFrame:
+        slot = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")
+        return df.withColumn("_slot", F.when(F.col(on).isNull(), slot).otherwise(0))
+
+    return spread_nulls(left).join(spread_nulls(right), [on, "_slot"], "full").drop("_slot")
 
 
 def all_present(columns: Sequence[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftpanel.functions.moments import correlation
@@ -40,6 +40,7 @@ def demographics(
     id_column: str = "tract20l",
     unit: str = "unit",
     race_name: compose.Namer = compose.joined,
+    null_keys: str = "keep",
 ) -> DataFrame:
     """Age and race composition of both periods, one row per unit.
 
@@ -58,15 +59,19 @@ def demographics(
         name=race_name,
         unit=unit,
     )
-    return full_join(by_age, by_race, unit)
+    return full_join(by_age, by_race, unit, null_keys)
 
 
 def analysed_with_demographics(
     long: DataFrame, demo: DataFrame, spec: PanelSpec
 ) -> DataFrame:
-    """Change rows left-joined to composition, written once for the tables that follow."""
-    rows = block.change_rows(materialize(tract_wide(long, spec), "tract_wide"), spec)
-    return materialize(left_join(rows, demo, [spec.unit]), "tract_rows")
+    """Change rows left-joined to composition.
+
+    The wide panel and the composition meet in one written table; the baseline line and every
+    table after it are passes over its columns, without another shuffle of units.
+    """
+    joined = left_join(tract_wide(long, spec), demo, [spec.unit])
+    return block.change_rows(materialize(joined, "tract"), spec)
 
 
 def one_per_unit(rows: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -206,8 +211,6 @@ def transition_share(binned: DataFrame, tercile: str) -> DataFrame:
 
     The window runs over the counted table, a few rows per tercile.
     """
-    from pyspark.sql import Window
-
     counts = (
         binned.filter(F.col(tercile).isNotNull())
         .groupBy("scenario", tercile, "transition")

@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Keeps the compiled code of a whole set of tables, so reruns do not compile again.
+    "spark.sql.codegen.cache.maxEntries": "1000",
     # Call-site capture costs more than planning for tables with many columns.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from driftpanel.operators import chartdata, geometry
@@ -99,6 +100,15 @@ def test_vertex_table_with_hole_and_parts(spark):
     assert geometry.polygon_area_from_vertices(df).first()["area_m2"] == pytest.approx(16 - 1 + 1)
 
 
+def test_vertex_gap_is_an_error(spark):
+    df = spark.createDataFrame(
+        [(1, 0, i, float(i), float(i * i)) for i in (0, 1, 3)],
+        "unit int, ring int, seq int, x double, y double",
+    )
+    with pytest.raises(PySparkException, match="positions have gaps in ring 1 0"):
+        geometry.polygon_area_from_vertices(df).collect()
+
+
 def test_feet_to_metres(spark):
     df = spark.createDataFrame([(1, SQUARE)], f"unit int, ring {RING}")
     out = geometry.polygon_area(df, unit_in_m=geometry.US_SURVEY_FOOT).first()

@@ -162,10 +162,24 @@ def test_normalize_id(spark):
 def test_full_join_null_keys(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, l string")
     right = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k int, r string")
-    matched = {(r["k"], r["l"], r["r"]) for r in joins.full_join(left, right, "k").collect()}
-    assert matched == {(1, "a", "x"), (None, "b", "y"), (2, "c", None), (3, None, "z")}
-    dropped = joins.full_join(left, right, "k", null_keys="drop").collect()
-    assert len(dropped) == 3
+    def rows(mode):
+        return {(r["k"], r["l"], r["r"]) for r in joins.full_join(left, right, "k", mode).collect()}
+
+    common = {(1, "a", "x"), (2, "c", None), (3, None, "z")}
+    assert rows("match") == {*common, (None, "b", "y")}
+    assert rows("keep") == {*common, (None, "b", None), (None, None, "y")}
+    assert rows("drop") == common
+    with pytest.raises(ValueError):
+        joins.full_join(left, right, "k", "other")
+
+
+def test_semi_join_to_a_table_and_to_a_list_agree(spark, random_panel):
+    keys = ["season", "buffer"]
+    table = joins.scenario_table(spark, BLOCK_SCENARIOS, keys)
+    one = joins.keep_matching(random_panel, table.union(table), keys)
+    two = joins.keep_scenarios(random_panel, BLOCK_SCENARIOS, keys)
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    assert joins.keep_scenarios(random_panel, []).count() == 0
 
 
 def test_columns_by_prefix_ignore_case(spark):
