@@ -40,7 +40,7 @@ def corr(y: str, x: str) -> str:
 
 
 def sql(name: str, select: str, *ctes: str) -> None:
-    ORACLES[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + select
+    ORACLES[name] = ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + select
 
 
 def scenario_filter(pairs) -> str:
@@ -193,7 +193,7 @@ sql(
     *long_panel(P),
 )
 sql(
-    "normalize_ids",
+    "normalize_id",
     "SELECT c_custkey, TRY_CAST(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT) AS id FROM customer",
 )
 sql("distinct_sorted", "SELECT DISTINCT season, buffer FROM panel ORDER BY 1, 2", *long_panel(P))
@@ -263,6 +263,21 @@ sql(
     CHANGE_WIDE,
 )
 
+B_COLS = [f"b{b}" for b in BUFFERS]
+sql(
+    "change_corr_matrix_growing",
+    " UNION ALL ".join(
+        f"SELECT CAST(count(*) AS BIGINT) AS n, '{a}' AS \"row\", '{b}' AS \"column\", "
+        f"{r(corr(a, b), 'r')} FROM gw"
+        for a in B_COLS
+        for b in B_COLS
+    ),
+    *changes(S, BLOCK4),
+    "gw AS (SELECT unit, "
+    + ", ".join(f"max(change) FILTER (WHERE buffer = {b}) AS b{b}" for b in BUFFERS)
+    + " FROM ch WHERE season = 'Growing_Season' GROUP BY 1 HAVING count(*) = 3)",
+)
+
 
 # Baseline line and change ----------------------------------------------------------------------
 
@@ -300,6 +315,17 @@ def f_tail(f: str, df1: str, df2: str) -> str:
     return tail(f"atan(sqrt({f} * {df1} / {df2}))", f"({df1} - 1)", f"({df2} - 1)")
 
 
+def t_points(source: str) -> str:
+    """Two-sided 5% point of t for each df in a table, by halving."""
+    middle = "((low + high) / 2)"
+    return f"""points AS (SELECT DISTINCT CAST(df AS DOUBLE) AS df, CAST(0 AS DOUBLE) AS low,
+  CAST(64 AS DOUBLE) AS high, 0 AS step FROM {source}
+  UNION ALL SELECT df, CASE WHEN outside > 0.05 THEN {middle} ELSE low END,
+  CASE WHEN outside > 0.05 THEN high ELSE {middle} END, step + 1
+  FROM (SELECT *, {t_tail(middle, 'df')} AS outside FROM points WHERE step < 45)),
+point AS (SELECT df, {middle} AS t95 FROM points WHERE step = 45)"""
+
+
 sql(
     "ols_by_stratum_p",
     f"SELECT season, buffer, {r(t_tail('t', 'df'), 'slope_p')} FROM "
@@ -570,6 +596,11 @@ TRIPLES = [
 ]
 sql("paired_t_buffers", f"SELECT {T_COLS} FROM paired", *TRIPLES)
 sql("paired_t_buffers_p", T_P, *TRIPLES)
+T_CI = (
+    f'SELECT "first", "second", {r("mean_diff - t95 * se", "lo")}, {r("mean_diff + t95 * se", "hi")} '
+    "FROM paired JOIN point USING (df)"
+)
+sql("paired_t_buffers_ci", T_CI, *TRIPLES, t_points("paired"))
 SEASON_T = [
     *by_season(S),
     "cs1000 AS (SELECT * FROM cs WHERE buffer = 1000)",
@@ -577,6 +608,7 @@ SEASON_T = [
 ]
 sql("paired_t_season", f"SELECT {T_COLS} FROM paired", *SEASON_T)
 sql("paired_t_season_p", T_P, *SEASON_T)
+sql("paired_t_season_ci", T_CI, *SEASON_T, t_points("paired"))
 sql(
     "paired_t_season_by_buffer",
     f"SELECT buffer, {T_COLS} FROM paired",
@@ -1009,6 +1041,19 @@ sql(
 )
 
 
+sql(
+    "smooth_lm_band",
+    f"""SELECT scenario, CAST(i AS INTEGER) AS point, {r('x', 'x')},
+  {r('fit - t95 * se', 'lo')}, {r('fit + t95 * se', 'hi')} FROM (SELECT *, intercept + slope * x AS fit,
+  sqrt(rss / df) * sqrt(CAST(1 AS DOUBLE) / n + (x - xbar) * (x - xbar) / sxx) AS se
+  FROM (SELECT *, low + i * ((high - low) / 79) AS x
+  FROM sfit, (SELECT unnest(range(0, 80)) AS i))) JOIN point USING (df)""",
+    *changes(P),
+    fit_cte("ch", "sfit", "change", "dy", "scenario"),
+    t_points("sfit"),
+)
+
+
 def box(source: str, value: str, by: str) -> str:
     q = ", ".join(f"quantile_cont({value}, {p}) AS {n}" for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)))
     inside = f"({value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1))"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpanel.checks import fixtures as fx
-from driftpanel.functions.scalars import normalize_id, scenario_name
+from driftpanel.functions import scalars
 from driftpanel.operators import assoc, bins, chartdata, compose, geometry, infer, ols, panel
 from driftpanel.operators import residual, sample
 from driftpanel.operators.joins import full_join, keep_matching, scenario_table
@@ -173,9 +173,9 @@ def unit_year_join(spark, sf):
 
 
 @query
-def normalize_ids(spark, sf):
+def normalize_id(spark, sf):
     rows = fx.table(spark, sf, "customer")
-    return rows.select("c_custkey", normalize_id("c_name").alias("id"))
+    return rows.select("c_custkey", scalars.normalize_id("c_name").alias("id"))
 
 
 @query
@@ -408,6 +408,14 @@ def change_corr_matrix(spark, sf):
     return report(block.change_matrix(changes(spark, sf), SPEC))
 
 
+@query
+def change_corr_matrix_growing(spark, sf):
+    rows = changes(spark, sf, scenarios=BLOCK_SCENARIOS)
+    growing = rows.filter(F.col("season") == SEASONS[1])
+    table = block.change_by_buffer(growing, SPEC)
+    return report(assoc.correlation_matrix(table, [f"b{b}" for b in BUFFERS]))
+
+
 @query
 def nested_f_season(spark, sf):
     cells = block.scenario_cells(wide(spark, sf, "part"), SPEC)
@@ -766,7 +774,7 @@ def histogram_even(spark, sf):
 @query
 def smooth_lm(spark, sf):
     rows = changes(spark, sf, "part").withColumn(
-        "facet", scenario_name(F.col("season"), F.col("buffer"))
+        "facet", scalars.scenario_name(F.col("season"), F.col("buffer"))
     )
     return report(chartdata.smooth_line(rows, "change", "delta_log_x", ["facet"]))
 
