@@ -37,25 +37,23 @@ def exact_quantiles(
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(
         v.isNotNull() & ~F.isnan(v)
     )
+    # One sketch per group answers all edges: a low and a high one per wanted probability.
+    edges = [e for p in wanted for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), *[
-            F.percentile_approx(v, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias(
-                f"_edge{i}"
-            )
-            for i, p in enumerate(wanted)
-        ]
+        F.count("*").alias("_n"),
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
+        *([F.percentile_approx(v, edges, accuracy).alias("_edges")] if wanted else []),
     )
-    # A sketch this small group fits in is not needed: the whole group is the bracket.
+    # A group no larger than the accuracy needs no sketch: all of it is the bracket.
     tiny = F.col("_n") <= accuracy
+    brackets = {}
     for i, p in enumerate(wanted):
-        low, high = F.col(f"_edge{i}")[0], F.col(f"_edge{i}")[1]
-        sketch = sketch.withColumns(
-            {
-                f"_low{i}": F.when(tiny | F.lit(p <= margin), F.col("_min")).otherwise(low),
-                f"_high{i}": F.when(tiny | F.lit(p >= 1 - margin), F.col("_max")).otherwise(high),
-            }
-        )
-    sketch = sketch.drop(*[f"_edge{i}" for i in range(len(wanted))])
+        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
+        brackets[f"_low{i}"] = F.when(tiny | F.lit(p <= margin), F.col("_min")).otherwise(low)
+        brackets[f"_high{i}"] = F.when(tiny | F.lit(p >= 1 - margin), F.col("_max")).otherwise(high)
+    if wanted:
+        sketch = sketch.withColumns(brackets).drop("_edges")
     marked = attach(rows, sketch, by, "inner")
 
     inside, gap = F.lit(False), F.lit(0)

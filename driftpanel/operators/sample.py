@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SALTS = 64
+_SLICES = 64
 
 
 def group_sample(
@@ -16,19 +16,23 @@ def group_sample(
     """``min(k, n)`` rows of each group, without replacement.
 
     Rows are drawn in the order of a seeded hash of their id, so reruns, retries and other
-    partitionings draw the same rows. A first cut inside hashed slices of each group leaves at
-    most ``k`` rows per slice for the final cut; no task sorts a whole group.
+    partitionings draw the same rows. Up to the size where Spark limits a ranked window before
+    its shuffle, every map task sends ``k`` rows per group. For a larger ``k`` a first cut inside
+    hashed slices of each group leaves ``k`` rows per slice. Neither sorts a whole group in one task.
     """
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])
-    drawn = df.withColumns(
-        {"_draw": F.md5(key), "_slice": F.pmod(F.xxhash64(*ids), F.lit(_SALTS))}
-    )
     order = [F.col("_draw"), *[F.col(i) for i in ids]]
-    in_slice = Window.partitionBy(*by, "_slice").orderBy(*order)
-    in_group = Window.partitionBy(*by).orderBy(*order)
-    kept = drawn.withColumn("_rank", F.row_number().over(in_slice)).filter(F.col("_rank") <= k)
-    kept = kept.withColumn("_rank", F.row_number().over(in_group)).filter(F.col("_rank") <= k)
-    return kept.drop("_draw", "_slice", "_rank")
+
+    def first_k(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+    drawn = df.withColumn("_draw", F.md5(key))
+    limit = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    if k > int(limit):
+        sliced = drawn.withColumn("_slice", F.pmod(F.xxhash64(*ids), F.lit(_SLICES)))
+        drawn = first_k(sliced, [*by, "_slice"]).drop("_slice")
+    return first_k(drawn, by).drop("_draw")
 
 
 def moved_enough(

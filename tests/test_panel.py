@@ -243,6 +243,19 @@ def test_sample_size_and_repeatability(spark):
     assert sample.group_sample(df.filter("id < 30"), ["g"], 50, 42, ["id"]).count() == 30
 
 
+def test_sample_limits_groups_before_the_shuffle(spark):
+    df = spark.range(0, 9000).select((F.col("id") % 3 == 0).cast("int").alias("g"), "id")
+    plan = sample.group_sample(df, ["g"], 50, 42, ["id"])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit [g" in plan and "Partial" in plan
+    large = sample.group_sample(df, ["g"], 2000, 42, ["id"])
+    assert "_slice" in large._jdf.queryExecution().toString()
+    by_hash = df.filter("g = 1").orderBy(F.md5(F.concat_ws(":", F.lit("42"), "id"))).limit(2000)
+    assert sorted(r["id"] for r in large.filter("g = 1").collect()) == sorted(
+        r["id"] for r in by_hash.collect()
+    )
+    assert large.count() == 4000
+
+
 def test_strict_and_long_correlation_forms_agree(spark):
     df = spark.range(0, 50).select(
         F.col("id").cast("double").alias("a"), F.sin("id").alias("b"), F.cos("id").alias("c")
