@@ -57,8 +57,10 @@ def report(df: DataFrame, **digits: int) -> DataFrame:
 # Shared inputs ---------------------------------------------------------------------------------
 
 
-def wide(spark: SparkSession, sf: str, unit: str = "supplier", scenarios=ALL_SCENARIOS):
-    return block.wide_panel(fx.unit_panel(spark, sf, unit), SPEC, scenarios)
+def wide(
+    spark: SparkSession, sf: str, unit: str = "supplier", scenarios=ALL_SCENARIOS, by_unit=False
+):
+    return block.wide_panel(fx.unit_panel(spark, sf, unit), SPEC, scenarios, by_unit=by_unit)
 
 
 def changes(spark: SparkSession, sf: str, unit: str = "supplier", scenarios=ALL_SCENARIOS):
@@ -246,7 +248,7 @@ def buffer_wide(spark, sf):
 
 @query
 def season_wide(spark, sf):
-    return report(block.season_wide(wide(spark, sf, "part"), SPEC))
+    return report(block.season_wide(wide(spark, sf, "part", by_unit=True), SPEC))
 
 
 @query
@@ -390,7 +392,7 @@ def corr_complete(spark, sf):
 
 @query
 def cross_season_corr(spark, sf):
-    return report(block.cross_season_levels(wide(spark, sf, "part"), SPEC))
+    return report(block.cross_season_levels(wide(spark, sf, "part", by_unit=True), SPEC))
 
 
 @query

@@ -56,8 +56,16 @@ def panel_wide(
     values: Sequence[str],
     periods: Sequence[int],
     period: str = "year",
+    colocate: str | None = None,
 ) -> DataFrame:
-    """One row per id with ``{value}_{period}`` columns, complete rows only."""
+    """One row per id with ``{value}_{period}`` columns, complete rows only.
+
+    A cell is one row per period, so combining before the shuffle saves nothing. ``colocate``
+    therefore shuffles once by that id column alone: the pivot, and a later join or pivot by the
+    same column, all run in place.
+    """
+    if colocate:
+        df = df.repartition(colocate)
     return spread(df, ids, period, periods, values, drop_incomplete=True)
 
 

@@ -29,11 +29,13 @@ def wide_panel(
     scenarios: Sequence[tuple[str, int]] | None = ALL_SCENARIOS,
     extra: Sequence[str] = (),
     keep: Sequence[str] = (),
+    by_unit: bool = False,
 ) -> DataFrame:
     """Cleaned, pivoted and differenced panel, one row per unit and scenario.
 
     The scenario filter comes before the pivot: its keys are grouping keys, so rows it removes
     are never shuffled. ``extra`` values are pivoted too; ``keep`` columns are part of the id.
+    ``by_unit`` leaves all rows of a unit together for a join or pivot that follows.
     """
     rows = panel.clean_panel(
         long, spec.y, spec.x, spec.periods, spec.period, [spec.buffer], spec.zero_policy
@@ -41,7 +43,12 @@ def wide_panel(
     if scenarios is not None:
         rows = keep_scenarios(rows, scenarios, spec.strata)
     wide = panel.panel_wide(
-        rows, [*spec.ids, *keep], [spec.log_x, spec.y, *extra], spec.periods, spec.period
+        rows,
+        [*spec.ids, *keep],
+        [spec.log_x, spec.y, *extra],
+        spec.periods,
+        spec.period,
+        spec.unit if by_unit else None,
     )
     return panel.panel_deltas(wide, {"delta_log_x": spec.log_x, "delta_y": spec.y}, spec.periods)
 

@@ -19,7 +19,7 @@ from driftpanel.session import materialize
 def tract_wide(long: DataFrame, spec: PanelSpec) -> DataFrame:
     """Wide panel with counts, their deltas and density per period."""
     wide = block.wide_panel(
-        long, spec, TRACT_SCENARIOS, extra=["hu", "pop"], keep=["area_ha"]
+        long, spec, TRACT_SCENARIOS, extra=["hu", "pop"], keep=["area_ha"], by_unit=True
     )
     wide = panel.panel_deltas(wide, {"delta_hu": "hu", "delta_pop": "pop"}, spec.periods)
     wide = wide.withColumns(

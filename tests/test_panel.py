@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from driftpanel import materialize
 from driftpanel.functions import scalars
 from driftpanel.operators import assoc, joins, panel, reshape, residual, sample
 from driftpanel.plans import block
@@ -93,6 +94,22 @@ def test_semi_join_before_pivot_equals_after(spark, random_panel):
     assert early.exceptAll(late).count() == 0 and late.exceptAll(early).count() == 0
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_one_shuffle_serves_both_pivots(spark, random_panel):
+    together = block.season_wide(block.wide_panel(random_panel, SPEC, by_unit=True), SPEC)
+    apart = block.season_wide(block.wide_panel(random_panel, SPEC), SPEC)
+    assert (exchanges(together), exchanges(apart)) == (1, 2)
+    assert together.exceptAll(apart).count() == 0 and apart.exceptAll(together).count() == 0
+
+
+def test_change_rows_add_no_shuffle(spark, random_panel):
+    stored = materialize(block.wide_panel(random_panel, SPEC))
+    assert exchanges(block.change_rows(stored, SPEC)) == 0
+
+
 def test_change_is_delta_y_minus_slope_times_delta_x(spark, random_panel):
     wide = block.wide_panel(random_panel, SPEC)
     rows = block.change_rows(wide, SPEC).toPandas()
