@@ -20,7 +20,7 @@ from driftpanel.operators.reshape import (
     spread,
     transpose,
 )
-from driftpanel.plans import block, tract
+from driftpanel.plans import block, prepare, tract
 from driftpanel.plans.spec import (
     ALL_SCENARIOS,
     BLOCK_SCENARIOS,
@@ -457,20 +457,8 @@ def model_selection_additive2(spark, sf):
 
 # Inference -------------------------------------------------------------------------------------
 
-_BUFFER_PAIRS = [("b500", "b1000"), ("b500", "b2000"), ("b1000", "b2000")]
-
-
 def _buffer_triples(spark, sf):
-    rows = spread(
-        fx.unit_panel(spark, sf, "part", years=None),
-        ["unit", "year", "season"],
-        "buffer",
-        BUFFERS,
-        ["y"],
-        name=lambda _, level: f"b{level}",
-        drop_incomplete=True,
-    )
-    return infer.paired_t(rows, _BUFFER_PAIRS)
+    return prepare.buffer_tests(fx.unit_panel(spark, sf, "part", years=None), SPEC)
 
 
 @query
