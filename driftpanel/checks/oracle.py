@@ -646,6 +646,53 @@ sql(
 )
 
 
+# Studentized range of three means. The normal distribution function comes from a table of
+# Simpson increments plus a Taylor step; the range and its scale are integrated on even grids.
+_NORMAL = """normal AS (SELECT list(cdf ORDER BY i) AS cdf FROM (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE
+  (exp(-pow((i - 1) / 64.0 - 8, 2) / 2) + 4 * exp(-pow((i - 0.5) / 64.0 - 8, 2) / 2)
+   + exp(-pow(i / 64.0 - 8, 2) / 2)) / (6 * 64 * sqrt(2 * pi())) END) OVER (ORDER BY i) AS cdf
+  FROM (SELECT CAST(unnest(range(0, 1025)) AS DOUBLE) AS i)))"""
+
+
+def range_tail(q: str, df: str) -> str:
+    z, s = "(i / 64.0 - 8)", f"(1 + (j - 64) / 64.0 * 9 / sqrt(2 * {df}))"
+    x = f"({z} - {q} * {s})"
+    at = f"least(greatest(round(({x} + 8) * 64), 0), 1024)"
+    x0 = f"({at} / 64.0 - 8)"
+    step = f"({x} - {x0})"
+    phi = "exp(-pow({0}, 2) / 2) / sqrt(2 * pi())"
+    below = (
+        f"(cdf[CAST({at} AS INTEGER) + 1] + {phi.format(x0)} * ({step} - {x0} * pow({step}, 2) / 2 "
+        f"+ (pow({x0}, 2) - 1) * pow({step}, 3) / 6))"
+    )
+    inner = (
+        f"list_sum([{phi.format(z)} * pow(cdf[i + 1] - {below}, 2) for i in range(0, 1025)]) * 3 / 64"
+    )
+    mass = f"exp(({df} - 1) * ln({s}) - {df} * ({s} * {s} - 1) / 2)"
+    return (
+        f"(1 - list_sum([{mass} * {inner} for j in range(0, 129)]) "
+        f"/ list_sum([{mass} for j in range(0, 129)]))"
+    )
+
+
+sql(
+    "tukey_hsd",
+    f"""SELECT pair, {r('diff', 'diff')}, {r('diff - q95 * se', 'lwr')}, {r('diff + q95 * se', 'upr')},
+  {r(range_tail('q', 'df'), 'p_adj')} FROM pairs, q_point, normal""",
+    *GROW,
+    _NORMAL,
+    """pairs AS (SELECT *, abs(diff) / se AS q FROM (SELECT CAST(df2 AS DOUBLE) AS df,
+  j.buffer || '-' || i.buffer AS pair, j.m - i.m AS diff, sqrt(ssw / df2 / 2 * (1.0 / i.n + 1.0 / j.n)) AS se
+  FROM lev i JOIN lev j ON i.buffer < j.buffer, tot))""",
+    f"""q_points AS (SELECT CAST(df2 AS DOUBLE) AS df, CAST(0 AS DOUBLE) AS low, CAST(16 AS DOUBLE) AS high,
+  0 AS step FROM tot
+  UNION ALL SELECT df, CASE WHEN outside > 0.05 THEN (low + high) / 2 ELSE low END,
+  CASE WHEN outside > 0.05 THEN high ELSE (low + high) / 2 END, step + 1
+  FROM (SELECT *, {range_tail('((low + high) / 2)', 'df')} AS outside FROM q_points, normal WHERE step < 36))""",
+    "q_point AS (SELECT (low + high) / 2 AS q95 FROM q_points WHERE step = 36)",
+)
+
+
 def effect(by: str, factor: str, a: str, b: str) -> str:
     def stats(v, tag):
         f = f"FILTER (WHERE {factor} = {v})"

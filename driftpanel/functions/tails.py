@@ -6,6 +6,7 @@ Arrow-batched functions over numpy; they run on a handful of summary rows, never
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,8 +67,10 @@ def _bisect(tail, target: float) -> float:
     low, high = 0.0, 1.0
     while tail(high) > target:
         low, high = high, high * 2.0
-    for _ in range(200):
+    while high - low > 1e-13 * high:
         middle = (low + high) / 2.0
+        if middle in (low, high):
+            break
         if tail(middle) > target:
             low = middle
         else:
@@ -75,6 +78,7 @@ def _bisect(tail, target: float) -> float:
     return (low + high) / 2.0
 
 
+@lru_cache
 def t_quantile(confidence: float, df: float) -> float:
     """Half width, in standard errors, of a two-sided t interval."""
     return _bisect(lambda v: t_tail(v, df), 1.0 - confidence)
@@ -110,6 +114,7 @@ def tukey_tail(q: float, k: int, df: float) -> float:
     return float(np.clip(1.0 - (mass * _range_cdf(q * s, k)).sum() / mass.sum(), 0.0, 1.0))
 
 
+@lru_cache
 def tukey_quantile(confidence: float, k: int, df: float) -> float:
     return _bisect(lambda v: tukey_tail(v, k, df), 1.0 - confidence)
 
