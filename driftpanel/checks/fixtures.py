@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,13 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shipped_in(years: tuple[int, ...]) -> Column:
     """Ship date within the years, as ranges the Parquet scan can use."""
-    when = F.col("l_shipdate")
-    return reduce(
-        or_,
-        [
-            (when >= F.lit(datetime(y, 1, 1))) & (when < F.lit(datetime(y + 1, 1, 1)))
+    return F.expr(
+        " OR ".join(
+            f"(l_shipdate >= TIMESTAMP'{y}-01-01' AND l_shipdate < TIMESTAMP'{y + 1}-01-01')"
             for y in years
-        ],
+        )
     )
 
 

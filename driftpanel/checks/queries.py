@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftpanel.checks import fixtures as fx
 from driftpanel.functions import scalars
-from driftpanel.operators import assoc, bins, chartdata, compose, geometry, infer, ols, panel
+from driftpanel.operators import assoc, chartdata, compose, geometry, infer, ols, panel
 from driftpanel.operators import residual, sample
 from driftpanel.operators.joins import full_join, keep_matching, scenario_table
 from driftpanel.operators.reshape import (
@@ -641,7 +641,7 @@ def quantile_bins_global(spark, sf):
 
 
 def _by_quartile(spark, sf):
-    units = materialize(tract.one_per_unit(tract_rows(spark, sf), TRACT), "units")
+    units = tract.one_per_unit(tract_rows(spark, sf), TRACT)
     return tract.composition_by_quartile(units, fx.BAND_GROUPS, fx.TYPE_GROUPS, TRACT)
 
 

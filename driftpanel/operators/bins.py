@@ -29,6 +29,8 @@ def exact_quantiles(
     counting pass folds all rows outside the brackets into a single count per gap before the
     shuffle. Only about ``6 / accuracy`` of a group's distinct values per probability reach one
     task, and the answer is still exact. NULL and NaN are left out.
+
+    ``df`` is read twice; store it first if it is more than a scan away.
     """
     by = list(by)
     wanted = [p for p in probs if 0.0 < p < 1.0]
