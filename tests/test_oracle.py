@@ -11,8 +11,9 @@ import pytest
 import __spark_entry__ as entry_points
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+from driftpanel.checks.oracle import ORACLES  # noqa: E402
+from driftpanel.checks.queries import QUERIES  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -42,6 +43,8 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_is_covered():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry_has_rows(spark):
