@@ -206,8 +206,10 @@ def near_duplicates(
     text: str = "text",
     percent: int = 85,
     shingle: int = 5,
+    keep_key: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, set_id.
+    """One row per document: doc_id, n_shingles, component_id, kept; with ``keep_key`` the hash of
+    the text (tkey) and the node that stands for the component too.
 
     Links pairs with ``100 * intersection >= percent * union`` of their shingle sets.
     """
@@ -267,8 +269,9 @@ def near_duplicates(
     classes = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comps, "id", "left").select("id", "low", F.coalesce("comp", "id").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lowest, "comp").select(F.col("id").alias("set_id"), "component_id")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("own"))
+    classes = classes.join(lowest, "comp")
+    classes = classes.select(F.col("id").alias("set_id"), "component_id", F.col("comp").alias("component"))
+    rows = signed.select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("id").alias("own"))
     rows = rows.join(classes, F.col("own") == F.col("set_id"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select(
@@ -276,7 +279,7 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         (F.col("doc_id").eqNullSafe(component)).alias("kept"),
-        F.col("own").alias("set_id"),
+        *(["tkey", "component"] if keep_key else []),
     )
 
 
@@ -287,3 +290,31 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), words.binaries(marks)], ["id", "bits", "marks"]
             )
+
+
+def keep_one(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5
+) -> DataFrame:
+    """The documents with one row of each component, the one with the smallest id; of several such
+    rows, and in components without any id, the one with the smallest text hash. Rows without words
+    all stay. The decision is joined by the hash of the text, so the texts move once."""
+    found = near_duplicates(documents, doc_id, text, percent, shingle, keep_key=True)
+    first = found.where("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("first"),
+    )
+    keep = first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.tkey").alias("keep_key"))
+    keep = keep.unionByName(
+        found.where("n_shingles = 0").select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_key")).distinct()
+    )
+    copies = found.where("n_shingles > 0").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("rows"))
+    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("tkey").alias("c_key"), "rows")
+    keep = keep.join(
+        copies, F.col("keep_id").eqNullSafe(F.col("c_id")) & (F.col("keep_key") == F.col("c_key")), "left"
+    ).select("keep_id", "keep_key", F.coalesce("rows", F.lit(1)).alias("keep_rows"))
+    keyed = documents.withColumn("__key", F.xxhash64(text))
+    kept = keyed.join(
+        keep, (F.col("__key") == F.col("keep_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("keep_id"))
+    )
+    once = kept.where("keep_rows = 1").select(*documents.columns)
+    again = kept.where("keep_rows > 1").dropDuplicates(["keep_id", "keep_key"]).select(*documents.columns)
+    return once.unionByName(again)

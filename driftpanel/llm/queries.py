@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftpanel.llm import decontaminate, license_scan, link_graph, minhash_dedup, piece_codec
-from driftpanel.llm import quality_rules, secret_scan, toxicity
+from driftpanel.llm import decontaminate, license_scan, link_graph, minhash_dedup, mixing_lm
+from driftpanel.llm import piece_codec, quality_rules, secret_scan, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def piece_model(path: str | None = None) -> bytes:
     return Path(path).read_bytes()
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -44,13 +48,17 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("set_id")
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -92,9 +100,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_paragraph_minhash,
         op2_benchmark_decontamination,
         op3_minhash_near_dedup,
         op4_link_graph_urls,
+        op5_context_mixing_lm,
         op6_sentencepiece_codec,
         op7_counterfactual_toxicity,
         op8_assignment_secrets,

@@ -53,7 +53,10 @@ def paragraph_ends(found: words.Words) -> np.ndarray:
     np.cumsum(found.data == 0x0A, out=lines[1:])
     last[:-1] = found.row[1:] != found.row[:-1]
     last[:-1] |= lines[found.start[1:]] != lines[found.end[:-1]]
-    last |= _STOP[found.data[found.end - 1]]
+    # Where every word ends like a sentence, none of them does.
+    stop = _STOP[found.data[found.end - 1]]
+    last[1:] |= stop[1:] & ~stop[:-1]
+    last[0] |= stop[0]
     cuts = np.flatnonzero(last)
     sizes = np.diff(np.append(-1, cuts))
     long = np.repeat(sizes > LONG, sizes)

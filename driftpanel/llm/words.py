@@ -56,7 +56,7 @@ _GRAM = constants(16, 2)
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
     if "p" not in _tables or len(_tables["p"]) < n:
         size = max(n, 1 << 18) + 1
@@ -151,7 +151,7 @@ def _hashes(data, start, end, prefixes):
         base = start[i]
         j = max(i + 1, int(np.searchsorted(end, base + (1 << 17), "right")))
         part = data[base : end[j - 1]]
-        power, inverse = _powers(len(part) + 1)
+        power, inverse = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
         s, e = start[i:j] - base, end[i:j] - base
