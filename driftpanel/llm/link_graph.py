@@ -31,7 +31,7 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-7, 60
+DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-4, 60
 MARGIN = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""

@@ -251,6 +251,7 @@ _SPACE = np.arange(256) == 0x20
 def _cut_keys(own: Codec, text: pa.Array) -> tuple[np.ndarray, np.ndarray, callable]:
     """Row and key of every cut of the column, and what gives a cut's string."""
     prefix = int(own.model.dummy_prefix)
+    text = pc.replace_substring(text, MARK, " ")  # the same after normalising
     if not own.separable:
         whole = words.words(text, np.zeros(256, bool), fold=False)
         return whole.row, whole.hash, lambda i: own.normalise(text[int(whole.row[i])].as_py())
