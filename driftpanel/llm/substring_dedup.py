@@ -183,7 +183,7 @@ def repeated_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")
     )
     kinds = "doc_id long, first int, n_words int, start int, end int, id long, words binary"
-    parts = materialize(rows.mapInArrow(_paragraphs, kinds), "paragraphs")
+    parts = near.packed(rows.mapInArrow(_paragraphs, kinds), "paragraphs")
     banded = parts.select("id", "words").mapInArrow(_banded, "id long, keys array<long>")
     buckets = near.shared_buckets(banded)
     nodes = parts.select("id", "words").join(buckets.select("id").distinct(), "id", "left_semi")
