@@ -31,7 +31,7 @@ from driftpanel.session import materialize
 
 WINDOW, SAMPLE = 10, 16
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Phrases:

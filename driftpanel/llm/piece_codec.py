@@ -37,7 +37,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct cuts that a task remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 THREADS = 2
 
 

@@ -100,7 +100,7 @@ class Words:
 
     def code_points(self) -> np.ndarray:
         """Code points before each byte, over the whole column; one entry more than bytes."""
-        out = np.zeros(len(self.data) + 1, np.int64)
+        out = np.zeros(len(self.data) + 1, np.int32 if len(self.data) < 1 << 31 else np.int64)
         np.cumsum((self.data & 0xC0) != 0x80, out=out[1:])
         return out
 
