@@ -212,10 +212,10 @@ def year_bands(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding as a ring of 32 vertices: even positions x, odd positions y."""
+    """Each embedding as a ring, a vertex per two numbers: even positions x, odd positions y."""
     e = F.col("embedding")
     ring = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
+        F.sequence(F.lit(0), F.floor(F.size(e) / 2).cast("int") - 1),
         lambda i: F.struct(
             F.get(e, 2 * i).cast("double").alias("x"), F.get(e, 2 * i + 1).cast("double").alias("y")
         ),

@@ -464,7 +464,7 @@ sql(
 sql(
     "corr_complete",
     "SELECT CAST(count(*) AS BIGINT) AS n, "
-    + ", ".join(r(corr(f"band{i}_{B}", f"band{i}_{T}"), f"r{i}") for i in (1, 5, 10))
+    + ", ".join(r(corr(f"band{i}_{B}", f"band{i}_{T}"), f"r{i}") for i in range(1, 11))
     + " FROM bands",
     *BANDS_JOINED,
 )

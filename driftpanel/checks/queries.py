@@ -386,7 +386,7 @@ def corr_strict(spark, sf):
 @query
 def corr_complete(spark, sf):
     sides = [add_suffix(fx.year_bands(spark, sf, y).drop("YEAR"), f"_{y}", "band") for y in fx.PERIODS]
-    pairs = {f"r{i}": (f"band{i}_1996", f"band{i}_2000") for i in (1, 5, 10)}
+    pairs = {f"r{i}": (f"band{i}_1996", f"band{i}_2000") for i in range(1, 11)}
     return report(assoc.correlate(full_join(*sides, on="tract20l"), pairs))
 
 

@@ -23,9 +23,13 @@ INTERPRETATION = {
 
 
 def normalize_id(column: Column | str) -> Column:
-    """Digits of an id as bigint; NULL when none are left."""
-    text = F.col(column) if isinstance(column, str) else column
-    return F.regexp_replace(text.cast("string"), "[^0-9]", "").try_cast("bigint")
+    """Digits of an id as bigint; NULL when none are left. A fractional type counts as the whole
+    number, not as the text that it prints as."""
+    value = F.col(column) if isinstance(column, str) else column
+    kind = F.typeof(value)
+    number = kind.isin("double", "float") | kind.startswith("decimal")
+    text = F.when(number, value.try_cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    return F.regexp_replace(text, "[^0-9]", "").try_cast("bigint")
 
 
 def log_floored(x: Column, floor: float = 1e-10) -> Column:
@@ -95,9 +99,9 @@ def recode(column: Column, labels: Mapping[str, str]) -> Column:
 
 
 def scenario_name(season: Column, buffer: Column) -> Column:
-    """'Dormant 1000 m' style label."""
-    short = F.when(season == "Dormant_Season", "Dormant").otherwise("Growing")
-    return F.concat_ws(" ", short, F.concat(buffer.cast("string"), F.lit(" m")))
+    """'Dormant 1000 m' style label; NULL if either part is."""
+    short = F.regexp_replace(season, "_Season$", "")
+    return F.concat(short, F.lit(" "), buffer.cast("string"), F.lit(" m"))
 
 
 def ordinal(column: Column, levels: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftpanel.functions.scalars import rounded
-from driftpanel.operators.joins import attach
+from driftpanel.operators.joins import attach, join_groups
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 TERCILES = [0.0, 1 / 3, 2 / 3, 1.0]
@@ -123,9 +123,7 @@ def with_median(
     median = exact_quantiles(rows, value, [0.5], by)
     if not by:
         return attach(summary, median.select(F.col("quantiles")[0].alias(out)), [])
-    return summary.join(
-        median.select(*by, F.col("quantiles")[0].alias(out)), list(by), "left"
-    )
+    return join_groups(summary, median.select(*by, F.col("quantiles")[0].alias(out)), list(by))
 
 
 def cut(value: Column, breaks: Column, labels: Sequence[str]) -> Column:

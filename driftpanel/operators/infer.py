@@ -65,7 +65,12 @@ def with_t_p(table: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 def _levels_record(df: DataFrame, y: str, factor: str, levels: Sequence[object]) -> DataFrame:
     stats = [c for i, v in enumerate(levels) for c in level_stats(y, factor, v, str(i))]
-    known = F.when(F.col(factor).isin(list(levels)), F.col(y))
+    listed = F.col(factor).isin(list(levels))
+    unlisted = F.raise_error(
+        F.concat(F.lit(f"{factor} has a level that is not listed: "), F.col(factor).cast("string"))
+    )
+    # A row without a level belongs to no group.
+    known = F.when(listed, F.col(y)).when(F.col(factor).isNotNull(), unlisted)
     record = df.agg(F.count(known).alias("n"), F.avg(known).alias("mean"), *stats)
     k = len(levels)
     within = reduce(

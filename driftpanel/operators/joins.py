@@ -55,13 +55,22 @@ def attach(
         )
     local = gather_small(per_group, limit)
     if local is not None:
-        joined = rows.join(F.broadcast(local), on, how)
+        joined = join_groups(rows, F.broadcast(local), on, how)
     else:
         joined = salted_join(rows, per_group, on, how)
     added = [c for c in per_group.columns if c not in on]
     return joined.select(*rows.columns, *added)
 
 
+def join_groups(
+    rows: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on group keys where NULL is a group like any other."""
+    other = per_group.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return rows.join(other, same, how).drop(*[f"_of_{c}" for c in on])
+
+
 def salted_join(
     rows: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "left", salts: int = _SALTS
 ) -> DataFrame:
@@ -71,7 +80,7 @@ def salted_join(
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return join_groups(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
 def scenario_table(

@@ -20,13 +20,23 @@ def spread(
     values: Sequence[str],
     name: Callable[[str, str], str] = lambda value, level: f"{value}_{level}",
     drop_incomplete: bool = False,
+    other: str = "raise",
 ) -> DataFrame:
     """Pivot wider: one row per id, one column per (value, level).
 
     The level list is fixed, so there is no extra pass to discover it, and one conditional
-    aggregate needs one shuffle. Two rows for one cell are an error, raised by the plan itself.
+    aggregate needs one shuffle. Two rows for one cell are an error, raised by the plan itself, and
+    so is a row of a level that is not listed, NULL included, unless ``other`` is "drop".
     """
-    kept = df.filter(F.col(names_from).isin(list(levels))).select(*ids, names_from, *values)
+    listed = F.col(names_from).isin(list(levels))
+    kept = df.select(*ids, names_from, *values)
+    if other == "drop":
+        kept = kept.filter(listed)
+    else:
+        level = F.coalesce(F.col(names_from).cast("string"), F.lit("NULL"))
+        unlisted = F.raise_error(F.concat(F.lit(f"{names_from} has a level that is not listed: "), level))
+        checked = F.when(listed, F.col(names_from)).otherwise(unlisted)
+        kept = kept.withColumn(names_from, checked)
     key_text = ", ".join(quoted(i) for i in ids)
     cells = []
     for level in levels:
@@ -48,8 +58,14 @@ def spread(
 def count_table(
     df: DataFrame, ids: Sequence[str], names_from: str, levels: Sequence[str]
 ) -> DataFrame:
-    """Contingency table: count per id and level, 0 where none."""
-    return df.groupBy(*ids).agg(
+    """Contingency table: count per id and level, 0 where none. NULL is no level and not counted; a
+    level that is not listed is an error."""
+    unlisted = F.raise_error(
+        F.concat(F.lit(f"{names_from} has a level that is not listed: "), F.col(names_from).cast("string"))
+    )
+    known = F.col(names_from).isin(list(levels)) | F.col(names_from).isNull()
+    checked = df.withColumn(names_from, F.when(known, F.col(names_from)).otherwise(unlisted))
+    return checked.groupBy(*ids).agg(
         *[F.count(F.when(F.col(names_from) == v, F.lit(1))).alias(v) for v in levels]
     )
 

@@ -186,6 +186,7 @@ def change_by_scenario(
         ["change"],
         name=lambda _, level: f"g_{level}",
         drop_incomplete=True,
+        other="drop",
     )
 
 
