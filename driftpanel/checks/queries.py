@@ -427,7 +427,7 @@ def nested_f_season(spark, sf):
 @query
 def nested_f_season_p(spark, sf):
     cells = block.scenario_cells(wide(spark, sf, "part"), SPEC)
-    return report(ols.with_f_p(ols.nested_f(cells, ["buffer"])).select("buffer", "p"))
+    return report(infer.with_f_p(ols.nested_f(cells, ["buffer"])).select("buffer", "p"))
 
 
 @query
@@ -439,7 +439,7 @@ def nested_f_buffer(spark, sf):
 @query
 def nested_f_buffer_p(spark, sf):
     cells = block.scenario_cells(wide(spark, sf, "part"), SPEC)
-    return report(ols.with_f_p(ols.nested_f(cells, ["season"])).select("season", "p"))
+    return report(infer.with_f_p(ols.nested_f(cells, ["season"])).select("season", "p"))
 
 
 @query

@@ -14,52 +14,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Continued fraction of the incomplete beta function, two steps in one (modified Lentz).
+
+    ``y`` is ``1 - x``. With it no difference of nearly equal numbers is formed when ``a`` is huge.
+    """
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    out = d
+
+    def odd(m: int) -> float:
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+
+    def one_plus_odd(m: int) -> float:
+        if x <= y:
+            return 1.0 + odd(m)
+        rest = a * (2 * m + 1 - b) + m * (3 * m + 2 - b) + (a + m) * (a + b + m) * y
+        return rest / ((a + 2 * m) * (a + 2 * m + 1))
+
+    out = one_plus_odd(0) or tiny
+    c, d = out, 0.0
     for m in range(1, 5000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for step in (even, odd):
-            d = 1.0 + step * d
-            c = 1.0 + step / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
+        above, level = -odd(m - 1) * even, even + one_plus_odd(m)
+        d = 1.0 / (level + above * d or tiny)
+        c = level + above / c or tiny
+        out *= c * d
         if abs(c * d - 1.0) < 1e-15:
             break
-    return out
+    return 1.0 / out
+
 
+def _log_beta(a: float, b: float) -> float:
+    """Logarithm of the beta function; by Stirling's series where one argument is large."""
+    a, b = max(a, b), min(a, b)
+    if a < 20.0:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function."""
+    def rest(z: float) -> float:
+        q = 1.0 / (z * z)
+        return (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q * (1 / 1680 - q / 1188)))) / z
+
+    rise = (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + rest(a + b) - rest(a)
+    return math.lgamma(b) - rise
+
+
+def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularized incomplete beta function; ``y`` is ``1 - x`` where the caller knows it better."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b)
-        - math.lgamma(a)
-        - math.lgamma(b)
-        + a * math.log(x)
-        + b * math.log1p(-x)
-    )
+    log_x = math.log(x) if x < y else math.log1p(-y)
+    log_y = math.log(y) if y <= x else math.log1p(-x)
+    front = math.exp(a * log_x + b * log_y - _log_beta(a, b))
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x, y) / a
+    return 1.0 - front * _beta_fraction(b, a, y, x) / b
 
 
 def t_tail(t: float, df: float) -> float:
     """P(|T| > |t|)."""
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    return beta_inc(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_tail(f: float, df1: float, df2: float) -> float:
     """P(F > f)."""
-    return beta_inc(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f)) if f > 0 else 1.0
+    if f <= 0:
+        return 1.0
+    total = df2 + df1 * f
+    return beta_inc(df2 / 2.0, df1 / 2.0, df2 / total, df1 * f / total)
 
 
 def _bisect(tail, target: float) -> float:
@@ -107,11 +130,12 @@ def tukey_tail(q: float, k: int, df: float) -> float:
     if q <= 0:
         return 1.0
     spread = 9.0 / math.sqrt(2.0 * df)
-    s, weight = _spread_nodes(max(1e-8, 1.0 - spread), 1.0 + spread)
-    log_norm = (df / 2.0) * math.log(df) - (df / 2.0 - 1.0) * math.log(2.0) - math.lgamma(df / 2.0)
-    density = np.exp(log_norm + (df - 1.0) * np.log(s) - df * s * s / 2.0)
-    mass = weight * density
-    return float(np.clip(1.0 - (mass * _range_cdf(q * s, k)).sum() / mass.sum(), 0.0, 1.0))
+    off, weight = _spread_nodes(max(1e-8 - 1.0, -spread), spread)
+    # Density of the scale 1 + off but for a constant, without large terms that cancel.
+    log_s = np.log1p(off)
+    mass = weight * np.exp(df * (log_s - off - off * off / 2.0) - log_s)
+    inside = (mass * _range_cdf(q * (1.0 + off), k)).sum() / mass.sum()
+    return float(np.clip(1.0 - inside, 0.0, 1.0))
 
 
 @lru_cache

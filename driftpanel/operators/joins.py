@@ -76,9 +76,11 @@ def salted_join(
 ) -> DataFrame:
     """Shuffled join that spreads every key of ``rows`` over ``salts`` tasks.
 
-    The salt is a hash of the row, so a retried task assigns the same salt again.
+    The salt is a hash of the row and of the number of its partition, so equal rows spread too and
+    a retried task assigns the same salt again.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    mixed = F.xxhash64(*rows.columns, F.spark_partition_id())
+    salted = rows.withColumn("_salt", F.pmod(mixed, F.lit(salts)).cast("int"))
     copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return join_groups(salted, copies, [*on, "_salt"], how).drop("_salt")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftpanel.functions.moments import pair_moments
-from driftpanel.functions.tails import f_upper, t_two_sided
+from driftpanel.functions.tails import t_two_sided
 
 
 def moments(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -109,12 +109,6 @@ def nested_f(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def with_f_p(table: DataFrame) -> DataFrame:
-    return table.withColumn(
-        "p", f_upper(F.col("f"), F.col("df1").cast("double"), F.col("df2").cast("double"))
-    )
-
-
 def _criteria(rss: Column, n: Column, terms: Column) -> dict[str, Column]:
     loglik = n * (math.log(2 * math.pi) + F.ln(rss / n) + 1)
     return {

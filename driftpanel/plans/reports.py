@@ -82,8 +82,8 @@ def scenario_tables(long: DataFrame, spec: PanelSpec) -> Tables:
         "season_correlations": block.cross_season_levels(wide, spec),
         "regression_coefficients": fit,
         "slope_intervals": ols.slope_interval(fit),
-        "nested_season": ols.with_f_p(ols.nested_f(cells, [spec.buffer])),
-        "nested_buffer": ols.with_f_p(ols.nested_f(cells, [spec.season])),
+        "nested_season": infer.with_f_p(ols.nested_f(cells, [spec.buffer])),
+        "nested_buffer": infer.with_f_p(ols.nested_f(cells, [spec.season])),
         "change_correlations": block.change_matrix(rows, spec),
         "season_change_correlations": block.cross_season_change(rows, spec),
         "buffer_change_correlations": block.cross_buffer_change(rows, spec),

@@ -64,9 +64,6 @@ class PanelSpec:
     def log_x(self) -> str:
         return f"log_{self.x}"
 
-    def at(self, name: str, period: int) -> str:
-        return f"{name}_{period}"
-
     @property
     def y_base(self) -> str:
         return f"{self.y}_{self.base}"

@@ -23,6 +23,26 @@ def test_t_tail_far_out_matches_published_slopes():
     assert tails.t_tail(-0.000094 / 3.89e-05, 83251) == pytest.approx(0.0154, rel=0.05)
 
 
+@pytest.mark.parametrize("df", [1e6, 1e8, 1e10, 1e12])
+def test_tails_at_many_degrees_of_freedom(df):
+    for t in (0.5, 1.5, 1.8, 3.0, 6.0):
+        # Fisher's expansion about the normal tail.
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        more = (t**3 + t) / (4 * df) + t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / (96 * df**2)
+        wanted = math.erfc(t / math.sqrt(2)) + 2 * density * more
+        assert tails.t_tail(t, df) == pytest.approx(wanted, rel=1e-10)
+        assert tails.f_tail(t * t, 1, df) == pytest.approx(wanted, rel=1e-10)
+        # With two degrees above, the tail is a power.
+        assert tails.f_tail(t, 2, df) == pytest.approx(math.exp(-df / 2 * math.log1p(2 * t / df)), rel=1e-10)
+    point = 1.959963984540054
+    assert tails.t_quantile(0.95, df) == pytest.approx(point + (point**3 + point) / (4 * df), rel=1e-10)
+
+
+def test_studentized_range_at_many_degrees_of_freedom():
+    # Two means: the range is sqrt(2) times a normal value.
+    assert tails.tukey_tail(3.0 * math.sqrt(2), 2, 1e11) == pytest.approx(tails.t_tail(3.0, 1e11), rel=1e-8)
+
+
 def test_f_tail_against_printed_tables():
     for df1, df2, point in [(1, 10, 4.964603), (3, 20, 3.098391), (5, 60, 2.368270)]:
         assert tails.f_tail(point, df1, df2) == pytest.approx(0.05, rel=1e-5)
