@@ -190,6 +190,8 @@ def codec(data: bytes) -> Codec:
 
 #: Ordinary cuts that are encoded as one text.
 JOINED = 500
+#: Texts that are encoded in one call; their pieces are held as objects until it ends.
+AT_ONCE = 64
 
 
 class _Cuts:
@@ -222,11 +224,16 @@ class _Cuts:
         texts = ["".join(cuts[i : min(i + JOINED, count)]) for i in range(0, count, JOINED)]
         groups = [min(JOINED, count - i) for i in range(0, count, JOINED)] + [1] * (len(cuts) - count)
         texts += cuts[count:]
-        ids = self.own.encode(texts)
-        same = [a == b for a, b in zip(ids, self.own.checked(texts), strict=True)]
-        back = [a == t.replace(MARK, " ") for a, t in zip(self.own.decode(ids), texts, strict=True)]
-        flat = np.array([x for i in ids for x in i], np.int32)
-        lengths = np.array([len(i) for i in ids], np.int64)
+        flats, sizes, same, back = [], [], [], []
+        for i in range(0, len(texts), AT_ONCE):
+            part = texts[i : i + AT_ONCE]
+            ids = self.own.encode(part)
+            same += [a == b for a, b in zip(ids, self.own.checked(part), strict=True)]
+            back += [a == t.replace(MARK, " ") for a, t in zip(self.own.decode(ids), part, strict=True)]
+            flats.append(np.fromiter((x for one in ids for x in one), np.int32))
+            sizes += [len(one) for one in ids]
+        flat = np.concatenate([*flats, np.zeros(0, np.int32)])
+        lengths = np.array(sizes, np.int64)
         opens = np.zeros(len(flat), bool)
         opens[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
         grouped = np.repeat(np.array(groups) > 1, lengths)

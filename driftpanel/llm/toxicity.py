@@ -177,7 +177,10 @@ def learn(
         return Classifier(np.zeros(1 << BITS), -30.0)
     take = lambda name: [x.values.to_numpy() for x in held.column(name).combine_chunks()]
     label = held.column("label").to_numpy().astype(float)
-    return fit(label, take("own"), take("other"), held.column("named").to_numpy().astype(float))
+    model = fit(label, take("own"), take("other"), held.column("named").to_numpy().astype(float))
+    del held
+    words.give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Classifier, text: str = "text") -> DataFrame:

@@ -7,7 +7,9 @@ their 64-bit hashes are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,8 +169,11 @@ def _hashes(data, start, end, prefixes):
     return mix(out), shorter
 
 
-def slabs(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``size`` bytes in their ``text`` column, one row at least."""
+def slabs(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes in their ``text`` column, one row at least.
+
+    Between batches, freed memory goes back to the system: Spark keeps a worker for later tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -180,6 +185,20 @@ def slabs(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa
             to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, text, ends
+        give_back()
+
+
+@functools.lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns free pages, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
 
 
 def binaries(parts: list[np.ndarray]) -> pa.Array:
