@@ -7,8 +7,9 @@ seed page carries the same mass, and what has no link to follow returns to the s
 distrust exceeds its trust by the factor ``MARGIN`` is blocked, any other is allowed.
 
 The graph is summed up by pair of hosts before anything else moves. Each round is one join and one
-sum over it, written to the shared folder; rounds end when no mass moves by more than
-``TOLERANCE``, or after ``ROUNDS``.
+sum over it, written to the shared folder; rounds end when no host's mass moves by more than the
+share ``TOLERANCE`` of itself. So the rule is the same for any number of seeds, and no round is the
+last while a host is reached for the first time.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path, fit no rule and take
 part in no link; they are allowed. Null html has no links. Links to the own host and relative ones
@@ -31,7 +32,7 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-4, 60
+DAMPING, TOLERANCE = 0.85, 1e-4
 MARGIN = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -90,7 +91,7 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
         return state
     nodes = seeds.select("kind", "host").union(links.select("kind", F.col("dst").alias("host"))).distinct()
     nodes = stored(nodes.join(seeds, ["kind", "host"], "left").fillna(0.0, ["seed"]), "nodes")
-    for _ in range(ROUNDS):
+    while True:  # each round shrinks what is still to move by DAMPING
         moved = state.join(links, (state.kind == links.kind) & (state.host == links.src))
         moved = moved.groupBy(links.kind, links.dst.alias("host")).agg(
             F.sum(F.col("mass") * F.col("share")).alias("came")
@@ -107,7 +108,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
         old = written[-1]
         new = stored(after, "mass")
         gap = new.join(state.withColumnRenamed("mass", "was"), ["kind", "host"], "left")
-        gap = gap.agg(F.max(F.abs(F.col("mass") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        gap = gap.select("mass", F.coalesce("was", F.lit(0.0)).alias("was")).where("mass <> was")
+        gap = gap.agg(F.max(F.abs(F.col("mass") - F.col("was")) / F.greatest("mass", "was"))).first()[0] or 0.0
         if "mass-" in old:
             near.drop(spark, old)
         state = new
