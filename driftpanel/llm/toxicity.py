@@ -95,9 +95,17 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(label: np.ndarray, own: list[np.ndarray], other: list[np.ndarray], named: np.ndarray) -> Classifier:
-    """Gradient descent with momentum on the weighted log loss plus the swap penalty."""
+def fit(
+    label: np.ndarray,
+    own: list[np.ndarray],
+    other: list[np.ndarray],
+    named: np.ndarray,
+    stands_for: np.ndarray | None = None,
+) -> Classifier:
+    """Gradient descent with momentum on the weighted log loss plus the swap penalty; stands_for:
+    how many rows each one weighs, by default one."""
     weights = np.zeros(1 << BITS)
+    stands_for = np.ones(len(label)) if stands_for is None else stands_for
     positive = int(label.sum())
     if not 0 < positive < len(label):
         share = min(max(positive / max(len(label), 1), 1e-6), 1 - 1e-6)
@@ -125,7 +133,10 @@ def fit(label: np.ndarray, own: list[np.ndarray], other: list[np.ndarray], named
 
     row, number = kept(own)
     swap_row, swap_number = kept([o if m else s for o, s, m in zip(other, own, named, strict=True)])
-    # Both classes weigh as in the labels, so 0.5 is the point of equal odds.
+    # Both classes weigh as in the labels, so 0.5 is the point of equal odds. Which features are used
+    # is a test of the sampled rows as they are.
+    weight = stands_for / stands_for.sum()
+    rate = weight @ label
     w, b = np.zeros(len(used)), np.log(rate / (1 - rate))
     speed_w, speed_b = np.zeros(len(used)), 0.0
     square_w, square_b = np.full(len(used), 1e-8), 1e-8
@@ -135,8 +146,8 @@ def fit(label: np.ndarray, own: list[np.ndarray], other: list[np.ndarray], named
         zs = np.bincount(swap_row, weights=w[swap_number], minlength=n) + b
         p, ps = sigmoid(z), sigmoid(zs)
         gap = 2 * SWAP_PENALTY * (p - ps) * named
-        g = (p - label + gap * p * (1 - p)) / n
-        gs = -gap * ps * (1 - ps) / n
+        g = (p - label + gap * p * (1 - p)) * weight
+        gs = -gap * ps * (1 - ps) * weight
         slope = np.bincount(number, weights=g[row], minlength=len(used)) + RIDGE * w
         slope += np.bincount(swap_number, weights=gs[swap_row], minlength=len(used))
         slope_b = g.sum() + gs.sum()
@@ -167,6 +178,7 @@ def learn(
         own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS // 2)
         for k in (0, 1)
     ]
+    count = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}  # two rows at most
     sample = F.broadcast(sample[0].unionByName(sample[1]).withColumnRenamed("doc_id", "of"))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(sample, F.col("doc_id") == F.col("of")).select("label", "text", "doc_id")
@@ -177,7 +189,9 @@ def learn(
         return Classifier(np.zeros(1 << BITS), -30.0)
     take = lambda name: [x.values.to_numpy() for x in held.column(name).combine_chunks()]
     label = held.column("label").to_numpy().astype(float)
-    model = fit(label, take("own"), take("other"), held.column("named").to_numpy().astype(float))
+    share = [max(1.0, count.get(k, 0) / (FIT_ROWS // 2)) for k in (0, 1)]
+    named = held.column("named").to_numpy().astype(float)
+    model = fit(label, take("own"), take("other"), named, np.where(label == 1, share[1], share[0]))
     del held
     words.give_back()
     return model

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftpanel.llm import link_graph
+from driftpanel.llm import link_graph, toxicity
 
 
 def test_op4_many_seeds(spark):
@@ -19,3 +19,22 @@ def test_op4_many_seeds(spark):
     assert {found[h].verdict for h in chain} == {"block"}
     masses = [found[h].distrust for h in reversed(chain)]
     assert np.array(masses[1:]) / masses[:-1] == pytest.approx(np.full(5, 0.85), rel=1e-3)
+
+
+def test_op7_capped_classes(spark, monkeypatch):
+    """A bounded sample of equal classes still scores as all labels do."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = int(i % 10 == 0)
+        sign = "nasty" if rng.random() < (0.7 if toxic else 0.1) else "plain"
+        rows.append((i, f"{sign} words of row{i}"))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = lambda: np.array([r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()])
+    whole = scores()
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 300)
+    capped = scores()
+    assert abs(whole.mean() - 0.1) < 0.02 and abs(capped.mean() - 0.1) < 0.03
+    assert ((whole >= 0.5) == (capped >= 0.5)).mean() > 0.95
