@@ -3,12 +3,15 @@
 Two findings per text, both over the whole of it:
 
 * the base patterns: values assigned to a few well-known names, access keys, long hex runs;
-* the lexer: lines that hold an assignment are read as source or configuration syntax into
-  name-literal pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-  ``name => 'literal'``, ``export NAME=literal``), literals may be joined by ``+`` and names that
-  hold a constant may be used in their place. A literal counts if its score, the sensitivity of
-  the target name times the strength of the value, reaches ``CUTOFF``; a propagated constant is
-  marked where it was written.
+* the lexer: the text is read as source or configuration syntax into name-literal pairs
+  (``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name => 'literal'``,
+  ``export NAME=literal``), literals may be joined by ``+`` or stand side by side, and names that
+  hold a constant may be used in their place. A value goes on over lines after an open bracket, an
+  operator or a backslash, in triple quotes, quoted or bare PEM blocks and YAML block scalars;
+  literals in calls, lists and maps count under the name they are assigned to, too. A bracket that
+  is never closed reaches to the next empty line. A literal counts if its score, the sensitivity
+  of the target name times the strength of the value, reaches ``CUTOFF``; a propagated constant is
+  marked where it was written. Lines without ``=`` or ``:`` that continue no value are passed over.
 
 Spans are in code points, end exclusive. Edge cases: null and empty texts have no findings; equal
 rows have equal findings; two spans with the same place and kind are one.
@@ -63,11 +66,20 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "tok
 CUTOFF = 0.5
 
 _LEX = re.compile(
-    r"""(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<op>:=|=>|==|!=|<=|>=|=|:)"""
+    r"""(?P<triple>\"{3}(?:[^"\\]|\\.|"(?!""))*"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3})"""
+    r"""|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<quote>["'])|(?P<op>:=|=>|==|!=|<=|>=|=|:)"""
     r"""|(?P<plus>\+)|(?P<word>[A-Za-z_$][\w$]*(?:[.-][\w$]+)*(?![\w/+=-]))|(?P<bare>[^\s"'=:+,;(){}\[\]]+)"""
-    r"""|(?P<end>[,;(){}\[\]])""",
-    re.ASCII,
+    r"""|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>[,;])|(?P<line>\n)""",
+    re.ASCII | re.DOTALL,
 )
+#: Names that stand right before the operator, as in ``NAME=literal``, ``--name=literal``, ``*name = ""``.
+_NAME = re.compile(r"[-*&@]*[A-Za-z_$][\w$.-]*", re.ASCII)
+_KEY = re.compile(r"\s*(?::|=(?!=))")
+_CALL = re.compile(r"[ \t]*[(\[]")
+_PEM = re.compile(r"[ \t]*(-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----)", re.DOTALL)
+_LONG_TEXT = {q: re.compile(rf"{q}((?:[^{q}\\]|\\.)*){q}", re.DOTALL) for q in "\"'"}
+_BLOCK = re.compile(r"[ \t]*[|>][+\-0-9]*[ \t]*(?:#[^\n]*)?\n")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
 _SET = {"=", ":", ":=", "=>"}
 
 
@@ -87,48 +99,242 @@ def value_score(value: str) -> float:
     return min(1.0, len(value) / 12) * min(1.0, bits / 3) * min(1.0, 0.4 + 0.3 * classes)
 
 
+def body(value: str) -> str:
+    """A value of several lines as one, without the first and last lines of a PEM block."""
+    if "\n" not in value and "-----" not in value:
+        return value
+    value = re.sub(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----", "\n", value.replace("\\n", "\n"))
+    return "".join(line.strip() for line in value.split("\n"))
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Places of the literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[str, tuple]] = {}
-    found = set()
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for name, value, places in _pairs(line, at, constants):
-                constants[name] = (value, places)
-                if places and name_score(name) * value_score(value) >= CUTOFF:
-                    found.update(places)
-        at += len(line) + 1
-    return sorted(found)
+    return _Lexer(text).read()
+
+
+class _Bracket:
+    """An open bracket: its sign, the sensitivity it hands on, the name it is the value of, where
+    the next empty line starts, and what was found in it."""
+
+    def __init__(self, sign: str, score: float, head: list | None, value: bool, ends: int):
+        self.sign, self.score, self.head, self.value, self.ends = sign, score, head, value, ends
+        self.found: list[tuple[int, int]] = []
+
+
+class _Lexer:
+    """One pass over the tokens of a text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.constants: dict[str, tuple[str, tuple]] = {}
+        self.found: set[tuple[int, int]] = set()
+        self.stack: list[_Bracket] = []
+        #: Name, sensitivity and whether no value was seen yet; the value so far; whether one may follow.
+        self.head: list | None = None
+        self.value, self.places, self.wanted, self.quoted = "", [], False, False
+        self.empty_line = -1
+
+    def inherited(self) -> float:
+        return self.stack[-1].score if self.stack else 0.0
+
+    def report(self, places) -> None:
+        (self.stack[-1].found.extend if self.stack else self.found.update)(places)
+
+    def finish(self) -> None:
+        """The value ends here."""
+        if self.value:
+            places = tuple(p for p in self.places if p[0] < p[1])
+            score = self.inherited()
+            if self.head:
+                score = max(score, self.head[1])
+                if self.head[2]:
+                    self.constants[self.head[0]] = (self.value, places)
+                    self.head[2] = False
+            if places and score and score * value_score(body(self.value)) >= CUTOFF:
+                self.report(places)
+        self.value, self.places, self.quoted = "", [], False
 
+    def end(self) -> None:
+        self.finish()
+        self.head, self.wanted = None, False
 
-def _pairs(line: str, base: int, constants: dict) -> Iterator[tuple[str, str, tuple]]:
-    """Name, value and places of each assignment of a line."""
-    lexed = [(m.lastgroup, m.group(), base + m.start(), base + m.end()) for m in _LEX.finditer(line)]
-    for i in range(1, len(lexed) - 1):
-        if lexed[i][0] != "op" or lexed[i][1] not in _SET or lexed[i - 1][0] not in ("word", "text"):
-            continue
-        name = lexed[i - 1][1].strip("\"'")
-        value, places, wanted = "", [], True
-        for kind, token, start, end in lexed[i + 1 :]:
-            if wanted and kind == "text":
-                value += token[1:-1]
-                places.append((start + 1, end - 1))
-            elif wanted and kind == "word" and token in constants:
-                value += constants[token][0]
-                places += constants[token][1]
-            elif wanted and kind in ("word", "bare") and not value:
-                value, places = token, [(start, end)]
-            elif kind == "plus" and not wanted:
-                wanted = True
+    def add(self, value: str, start: int, end: int) -> None:
+        self.value += value
+        self.places.append((start, end))
+        self.wanted, self.quoted = False, True
+
+    def opened(self, sign: str, at: int) -> None:
+        direct = self.head is not None and self.wanted and not self.value
+        score = max(self.inherited(), self.head[1] if self.head else 0.0)
+        self.finish()
+        if at > self.empty_line:
+            found = re.compile(r"\n[ \t]*\r?(?=\n)").search(self.text, at)
+            self.empty_line = found.start() if found else len(self.text)
+        self.stack.append(_Bracket(sign, score, self.head, direct, self.empty_line))
+        self.wanted = True
+
+    def closed(self, sign: str) -> None:
+        self.finish()
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].sign == _CLOSES[sign]), None)
+        if at is None:
+            self.head, self.wanted = None, False
+            return
+        while len(self.stack) > at + 1:
+            self.given_up(self.stack.pop())
+        own = self.stack.pop()
+        self.report(own.found)
+        self.head, self.wanted = own.head, False
+
+    def given_up(self, own: _Bracket) -> None:
+        self.report(p for p in own.found if p[0] < own.ends)
+
+    def open_value(self) -> bool:
+        """Whether an open bracket belongs to a value."""
+        return any(b.value or b.score for b in self.stack)
+
+    def newline(self, at: int) -> int:
+        """Where to read on after the line break before ``at``."""
+        text = self.text
+        if self.stack and self.open_value():
+            return at
+        while self.stack:
+            self.given_up(self.stack.pop())
+        if self.head and (self.wanted or self.quoted):
+            m = re.compile(r"\s*").match(text, at)
+            to = m.end()
+            line = text[to : text.find("\n", to) if "\n" in text[to : to + 400] else to + 400]
+            first = line[:1]
+            indent = to - text.rfind("\n", 0, to) - 1
+            if self.wanted and first and (first in "\"'([{" or (indent > self.head[3] and re.fullmatch(r"[^\s:=\"']+\r?", line))):
+                own = _LEX.match(text, to)
+                if self.value or not (own.lastgroup == "text" and _KEY.match(text, own.end())):
+                    return to
+            elif not self.wanted and first == "+" and line[1:2] not in "+=":
+                return to
+            elif not self.wanted and first in ("'", '"'):
+                own = _LEX.match(text, to)
+                if own.lastgroup == "text" and not _KEY.match(text, own.end()):
+                    return to
+        self.end()
+        return at
+
+    def skipped(self, at: int) -> int:
+        """The start of the next line with an assignment, if no value is open."""
+        if self.stack or self.head:
+            return at
+        text = self.text
+        to = min((x for x in (text.find("=", at), text.find(":", at)) if x >= 0), default=len(text))
+        return max(at, text.rfind("\n", at, to) + 1) if to < len(text) else to
+
+    def block(self, at: int, indent: int) -> None:
+        """A YAML block scalar whose lines start at ``at``."""
+        to, text = at, self.text
+        while to < len(text):
+            stop = text.find("\n", to)
+            stop = len(text) if stop < 0 else stop
+            line = text[to:stop]
+            if line.strip() and len(line) - len(line.lstrip()) <= indent:
+                break
+            to = stop + 1
+        own = text[at:to]
+        if own.strip():
+            start = at + len(own) - len(own.lstrip())
+            self.add(own.strip(), start, at + len(own.rstrip()))
+        self.end()
+
+    def read(self) -> list[tuple[int, int]]:
+        text, at, before, low = self.text, self.skipped(0), None, 0
+        tried: dict[str, int] = {}
+        while at < len(text):
+            m = _LEX.search(text, at)
+            if not m:
+                break
+            kind, token, start, at = m.lastgroup, m.group(), m.start(), m.end()
+            here = self.wanted and not self.value and before is not None and before[0] == "op"
+            if kind == "line":
+                at = self.newline(at)
+                at = low = self.skipped(at)
+                before = None
+                continue
+            if kind == "op":
+                if token in _SET and before and (before[0] in ("word", "text") or _NAME.fullmatch(before[1])):
+                    name = before[1].strip("\"'")
+                    self.finish()
+                    line = text.rfind("\n", 0, start) + 1
+                    indent = len(text[line:start]) - len(text[line:start].lstrip())
+                    self.head, self.wanted = [name, name_score(name), True, indent], True
+                    if token == ":" and (own := _BLOCK.match(text, at)):
+                        self.block(own.end(), indent)
+                    elif own := _PEM.match(text, at) if text.startswith("-----BEGIN", at + (text[at : at + 1] == " ")) else None:
+                        self.add(own.group(1), own.start(1), own.end(1))
+                        at = own.end()
+                        self.end()
+                else:
+                    self.end()
+            elif kind == "triple":
+                if self.wanted or self.quoted:
+                    self.add(token[3:-3], start + 3, at - 3)
+                else:
+                    at = start + 3
+            elif kind == "text":
+                key = not here and _KEY.match(text, at)
+                if key or not (self.wanted or self.quoted):
+                    if self.stack:
+                        self.finish()
+                    else:
+                        self.end()
+                else:
+                    self.add(token[1:-1], start + 1, at - 1)
+            elif kind == "quote":
+                # No second quote on the line: a value of several lines if it reads like one.
+                if self.head and self.wanted and self.head[1] and tried.get(token, -1) <= start:
+                    own = _LONG_TEXT[token].match(text, start)
+                    tried[token] = own.end() if own else len(text)
+                    if own and self.head[1] * value_score(body(own.group(1))) >= CUTOFF:
+                        self.add(own.group(1), own.start(1), own.end(1))
+                        at = own.end()
                 continue
+            elif kind == "plus":
+                self.wanted, self.quoted = bool(self.head or self.stack), False
+                if not self.value:
+                    self.end()
+            elif kind in ("word", "bare"):
+                if token == "\\" and text.startswith(("\n", "\r\n"), at):
+                    at = text.index("\n", at) + 1
+                    continue
+                if self.wanted and token in self.constants:
+                    own = self.constants[token]
+                    self.value += own[0]
+                    self.places += own[1]
+                    self.wanted = False
+                elif self.wanted and kind == "word" and _CALL.match(text, at):
+                    pass
+                elif here or (self.wanted and not self.value and self.head and not self.stack):
+                    self.value, self.places, self.wanted = token, [(start, at)], False
+                elif self.stack:
+                    self.finish()
+                    self.wanted = False
+                else:
+                    self.end()
+            elif kind == "open":
+                self.opened(token, start)
+            elif kind == "close":
+                self.closed(token)
+            elif self.stack:
+                self.finish()
+                # A new element: only what the bracket hands on, and no name of its own.
+                self.head, self.wanted = self.stack[-1].head, True
+                if self.head:
+                    self.head[2] = False
             else:
-                break
-            wanted = False
-        if value:
-            yield name, value, tuple(p for p in places if p[0] < p[1])
+                self.end()
+            before = (kind, token)
+        self.finish()
+        while self.stack:
+            self.given_up(self.stack.pop())
+        return sorted(self.found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,9 +1,11 @@
 """Whole results: what a bound, a cut or a unit must not leave out."""
 
+import time
+
 import numpy as np
 import pytest
 
-from driftpanel.llm import link_graph, toxicity
+from driftpanel.llm import link_graph, secret_scan, toxicity
 
 
 def test_op4_many_seeds(spark):
@@ -38,3 +40,39 @@ def test_op7_capped_classes(spark, monkeypatch):
     capped = scores()
     assert abs(whole.mean() - 0.1) < 0.02 and abs(capped.mean() - 0.1) < 0.03
     assert ((whole >= 0.5) == (capped >= 0.5)).mean() > 0.95
+
+
+KEY = "MIIEpAIBAAKCAQEAx7Zq\nT9vKpL3mW0sYbRkE2dQn"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('API_KEY = (\n    "Zx81kPq02"\n    "Lm44Rt"\n)\nx = "Qw12Er34Ty"', ["Zx81kPq02", "Lm44Rt"]),
+        ('password = "Zx81k" +\n  "Pq02Lm"\nother', ["Zx81k", "Pq02Lm"]),
+        ('password = "Zx81k"\n  + "Pq02Lm";', ["Zx81k", "Pq02Lm"]),
+        ('{\n "password":\n   "Zx81kPq02Lm",\n "user": "Qw12Er34Ty"\n}', ["Zx81kPq02Lm"]),
+        ('secret = """Zx81kPq02Lm"""', ["Zx81kPq02Lm"]),
+        ('pw = 1\npassword = os.getenv("PW", "Zx81kPq02Lm")', ["Zx81kPq02Lm"]),
+        ('token = [\n  "Zx81kPq02Lm",\n  "Yy72jRw13Kn"\n]\nother = ["Qw12Er34Ty"]', ["Zx81kPq02Lm", "Yy72jRw13Kn"]),
+        ('password = {"db": "Zx81kPq02Lm"}', ["Zx81kPq02Lm"]),
+        ('private_key: |\n  Zx81kPq02Lm\n  Yy72jRw13Kn\nuser: bob', ["Zx81kPq02Lm\n  Yy72jRw13Kn"]),
+        (f'PRIVATE_KEY="-----BEGIN KEY-----\n{KEY}\n-----END KEY-----"', [f"-----BEGIN KEY-----\n{KEY}\n-----END KEY-----"]),
+        (f"PRIVATE_KEY=-----BEGIN KEY-----\n{KEY}\n-----END KEY-----\n", [f"-----BEGIN KEY-----\n{KEY}\n-----END KEY-----"]),
+        ("password:\n  Zx81kPq02Lm\nuser: bob", ["Zx81kPq02Lm"]),
+        ('const char *password =\n  "Zx81k"\n  "Pq02Lm";', ["Zx81k", "Pq02Lm"]),
+        ('password = "" # none\n"Zx81kPq02Lm" is text', []),
+        ('the secret: (see below\n\nsaid "Zx81kPq02Lm" once', []),
+        ('secrets:\n  user: bob\nname = "Qw12Er34Ty"', []),
+        ('x = dict(password="Zx81kPq02Lm", user="Qw12Er34Ty")', ["Zx81kPq02Lm"]),
+    ],
+)
+def test_op8_values_over_lines(text, want):
+    assert [text[a:b] for a, b in secret_scan.literals(text)] == want
+
+
+def test_op8_linear():
+    for text in ("token = (" * 30_000, 'token = "' * 30_000, "a:(\n" * 30_000, "password = [\n" * 20_000 + "]" * 20_000):
+        began = time.process_time()
+        secret_scan.literals(text)
+        assert time.process_time() - began < 5
