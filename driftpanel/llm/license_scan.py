@@ -8,6 +8,14 @@ t / (2 - t) or above (2 - t) / t of the template's cannot reach it. The best tem
 the first by name on ties. Texts and units without any of the words that a match must hold (see ``markers``)
 are passed over first. Plain column expressions throughout; nothing is shuffled.
 
+Notices that are wrapped over lines, or are some of the sentences of a line, and whole licence texts
+(``WHOLE``) are found in windows of consecutive sentences and pieces of sentences, a line break being
+an end of a piece. A text is cut into windows for a template only if it holds ``t / (2 - t)`` of the
+template's bigrams at all. A window that could be a match starts and ends with a piece that shares
+some; among windows that overlap and match templates of like size (up to twice) the best stays, and
+one that is just a unit is the unit's own row. Windows of over twice the words that the bounds allow
+(bigrams repeated) are not looked at. Comment marks are no letters, so they do not count.
+
 Edge cases: null, empty and one-word units have no bigrams and match nothing. Repeated rows and
 repeated units are reported each.
 """
@@ -17,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +53,26 @@ TEMPLATES = {
 }
 
 
+#: Whole licence texts, by file name.
+WHOLE = {f"{f.stem}-text": f.read_text() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 def template_bigrams(text: str) -> list[str]:
     found = re.sub(r"[\W_]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:], strict=False)})
 
 
-def markers(held: dict[str, list[str]], low: float) -> list[str]:
+def markers(held: dict[str, list[str]], low: float, taken: list[str] | None = None) -> list[str]:
     """Words of which every match must hold one.
 
     A match shares at least ``need`` of a template's n bigrams, so of any n - need + 1 of them it
     has one. Words are taken, those in most open templates first, until each template has so many
-    bigrams with a taken word.
+    bigrams with a taken word. ``taken``: words to start with, which are not returned.
     """
     open_ = {k: (set(v), len(v) - math.ceil(len(v) * low - 1e-9) + 1) for k, v in held.items()}
+    open_ = {k: ({g for g in v if not set(taken or []) & set(g.split())}, n) for k, (v, n) in open_.items()}
+    open_ = {k: (v, n - len(held[k]) + len(v)) for k, (v, n) in open_.items()}
+    open_ = {k: (v, n) for k, (v, n) in open_.items() if n > 0}
     taken = []
     while open_:
         use = Counter(w for grams, _ in open_.values() for g in grams for w in set(g.split()) if len(w) > 3)
@@ -89,7 +105,11 @@ def scan(
     text: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per matching unit: doc_id, unit (its number among those with a marker), license, dice, matched (its text)."""
+    """One row per matching unit or window: doc_id, unit (its number among those with a marker; for a
+    window, less than 0, that of its first piece), license, dice, matched (its text)."""
+    short = templates or TEMPLATES
+    whole = {} if templates else WHOLE
+    wrapped = windows(documents, short, whole, doc_id, text, threshold)
     held = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     held = {k: v for k, v in held.items() if v}
     table = F.array(
@@ -130,4 +150,95 @@ def scan(
     best = F.array_max(F.transform(fits, scored))
     rows = rows.select("doc_id", "unit", "matched", F.explode(F.array(best)).alias("best"))
     rows = rows.where(F.col("best.dice") >= threshold)
-    return rows.select("doc_id", "unit", "best.license", "best.dice", "matched")
+    rows = rows.select("doc_id", "unit", "best.license", "best.dice", "matched")
+    return rows.unionByName(wrapped)
+
+
+_PAIRS = "transform(slice({0}, 2, size({0})), (w, i) -> concat({0}[i], ' ', w))"
+_NORMAL = "trim(regexp_replace(lower({0}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
+_PIECES = f"""filter(flatten(transform(split(text, '\\n'), (line, l) ->
+    transform(split(line, '(?<=[.!?])\\\\s+'), (p, k) -> struct(
+        p as raw, l as line, k as part, split({_NORMAL.format("p")}, ' ') as words
+    )))), x -> x.words[0] <> '')"""
+#: The bigrams inside each piece, and the one that joins it with the piece before.
+_GRAMS = f"""transform(pieces, (p, k) -> struct(
+    array_distinct({_PAIRS.format("p.words")}) as inner,
+    if(k = 0, array(), array(concat(element_at(get(pieces, k - 1).words, -1), ' ', p.words[0]))) as bridge))"""
+_SUMS = "aggregate({0}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + {1})))"
+_BOUNDS = """flatten(transform(fits, t -> transform(array(transform(grams, g ->
+    size(array_intersect(t.grams, concat(g.inner, g.bridge))))), shared -> struct(
+        t.license, t.order, t.grams, t.need, t.most, shared, {0} as total))))""".format(
+    _SUMS.format("shared", "x")
+)
+_CANDIDATES = """flatten(transform(bounds, b -> flatten(transform(
+    filter(sequence(0, size(pieces) - 1), i -> b.shared[i] > 0), i -> transform(filter(
+        sequence(i, cast(least(size(pieces) - 1, i + b.most) as int)), j -> b.shared[j] > 0
+            and b.total[j + 1] - b.total[i] >= b.need
+            and sums[j + 1] - sums[i] - 1 between b.need and b.most
+    ), j -> struct(i, j, b.license, b.order, b.grams))))))"""
+_SCORED = """filter(transform(transform(candidates, c -> struct(c, array_distinct(concat(
+    flatten(transform(slice(grams, c.i + 1, c.j - c.i + 1), g -> g.inner)),
+    flatten(transform(slice(grams, c.i + 2, c.j - c.i), g -> g.bridge)))) as own)), x -> struct(
+        round(-2.0D * size(array_intersect(x.own, x.c.grams)) / (size(x.own) + size(x.c.grams)), 12) as cost,
+        x.c.j - x.c.i as more, x.c.order, x.c.i, x.c.j, size(x.c.grams) as n, x.c.license)),
+    x -> x.cost <= -{0}D)"""
+_BEST = """aggregate(slice(scored, 2, size(scored)), slice(scored, 1, 1), (kept, x) -> if(
+    exists(kept, k -> k.i <= x.j and x.i <= k.j and greatest(k.n, x.n) <= 2 * least(k.n, x.n)),
+    kept, concat(kept, array(x))))"""
+#: Whether a window is a unit: one piece, or all pieces of one line.
+_UNIT = """best.more = 0 or (pieces[best.i].line = pieces[best.j].line
+    and (best.i = 0 or get(pieces, best.i - 1).line <> pieces[best.i].line)
+    and (best.j = size(pieces) - 1 or get(pieces, best.j + 1).line <> pieces[best.j].line))"""
+_MATCHED = """array_join(transform(slice(pieces, best.i + 1, best.more + 1), (p, k) ->
+    concat(if(k = 0, '', if(p.part = 0, '\\n', ' ')), p.raw)), '')"""
+
+
+def windows(
+    documents: DataFrame, short: dict[str, str], whole: dict[str, str], doc_id: str, text: str, threshold: float
+) -> DataFrame:
+    """The windows that match and are not units; whole texts also in one unit."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    held = {k: v for k, v in ((k, template_bigrams(t)) for k, t in sorted((short | whole).items())) if v}
+    some = markers({k: v for k, v in held.items() if k in short}, low)
+    some += markers(held, low, some)
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("order"),
+                F.lit(k).alias("license"),
+                F.array(*map(F.lit, v)).alias("grams"),
+                F.lit(math.ceil(len(v) * low - 1e-9)).alias("need"),
+                F.lit(math.ceil(2 * len(v) * high)).alias("most"),
+            )
+            for i, (k, v) in enumerate(held.items())
+        ]
+    )
+    known = F.array(*map(F.lit, sorted({g for v in held.values() for g in v})))
+    least = min(math.ceil(len(v) * low - 1e-9) for v in held.values())
+    rows = documents.where(F.lower(F.col(text)).rlike("|".join(some)))
+    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def step(rows: DataFrame, **made) -> DataFrame:
+        # Made by explode, so it is not written out again in later expressions.
+        for name, column in made.items():
+            column = F.expr(column) if isinstance(column, str) else column
+            rows = rows.select("*", F.explode(F.array(column)).alias(name))
+        return rows
+
+    rows = step(rows, words=f"split({_NORMAL.format('text')}, ' ')")
+    rows = step(rows, hits=F.array_intersect(known, F.expr(_PAIRS.format("words")))).drop("words")
+    rows = rows.where(F.size("hits") >= least)
+    rows = step(rows, fits=F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], F.col("hits"))) >= t["need"]))
+    rows = step(rows.where(F.size("fits") > 0), pieces=_PIECES)
+    rows = step(rows, grams=_GRAMS, sums=_SUMS.format("pieces", "size(x.words)"), bounds=_BOUNDS)
+    rows = step(rows, candidates=_CANDIDATES).where(F.size("candidates") > 0)
+    rows = step(rows, scored="array_sort(" + _SCORED.format(threshold) + ")").where(F.size("scored") > 0)
+    rows = rows.select("doc_id", "pieces", F.explode(F.expr(_BEST)).alias("best"))
+    rows = rows.where(~F.expr(_UNIT) | F.col("best.license").isin(*whole))
+    return rows.select(
+        "doc_id",
+        (-F.col("best.i") - 1).alias("unit"),
+        "best.license",
+        (-F.col("best.cost")).alias("dice"),
+        F.expr(_MATCHED).alias("matched"),
+    )

@@ -1,11 +1,12 @@
 """Whole results: what a bound, a cut or a unit must not leave out."""
 
+import textwrap
 import time
 
 import numpy as np
 import pytest
 
-from driftpanel.llm import link_graph, secret_scan, toxicity
+from driftpanel.llm import license_scan, link_graph, secret_scan, toxicity
 
 
 def test_op4_many_seeds(spark):
@@ -76,3 +77,21 @@ def test_op8_linear():
         began = time.process_time()
         secret_scan.literals(text)
         assert time.process_time() - began < 5
+
+
+def test_op9_wrapped(spark):
+    marks = ["", "# ", " * ", "// "]
+    rows, want = [], set()
+    notices = {k: v for k, v in license_scan.TEMPLATES.items() if len(v) > 120}
+    for i, (name, notice) in enumerate([*notices.items(), *license_scan.WHOLE.items()]):
+        lines = textwrap.wrap(" ".join(notice.split()), 60)
+        mark = marks[i % 4]
+        rows.append((i, "\n".join([f"{mark}Some prose before it.", *[mark + x for x in lines], f"{mark}And words after."])))
+        want.add((i, name))
+    rows.append((100, f"Some prose here. {license_scan.WHOLE['MIT'+'-text']} Some more.".replace("\n", " ")))
+    rows.append((101, "Prose, and more of it.\nReleased under the MIT License.\nYes"))
+    want |= {(100, "MIT-text")}
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.license) for r in found if r.dice >= 0.95}
+    assert got >= want
+    assert [(r.license, r.dice) for r in found if r.doc_id == 101] == [("MIT", 1.0)]
