@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpanel.llm import decontaminate, license_scan, link_graph, minhash_dedup, mixing_lm
-from driftpanel.llm import piece_codec, quality_rules, secret_scan, substring_dedup, toxicity
+from driftpanel.llm import piece_codec, quality_rules, secret_scan, spelling_variants, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*columns, "base_failed", "kept", "rejected_by")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_spellings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -110,6 +114,7 @@ QUERIES: dict[str, Query] = {
         op8_assignment_secrets,
         op9_license_scan,
         op10_quality_rules,
+        op11_spelling_variants,
     )
 }
 
