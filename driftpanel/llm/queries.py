@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftpanel.llm import decontaminate, license_scan, link_graph, minhash_dedup, mixing_lm
-from driftpanel.llm import piece_codec, quality_rules, secret_scan, spelling_variants, substring_dedup, toxicity
+from driftpanel.llm import decontaminate, hard_negatives, license_scan, link_graph, minhash_dedup, mixing_lm
+from driftpanel.llm import oracle, piece_codec, quality_rules, secret_scan, spelling_variants, substring_dedup
+from driftpanel.llm import toxicity, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +102,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.group_spellings(_table(spark, sf_dir, "documents"))
 
 
+def op12_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -115,7 +126,13 @@ QUERIES: dict[str, Query] = {
         op9_license_scan,
         op10_quality_rules,
         op11_spelling_variants,
+        op12_tiled_vectors,
+        op13_hard_negatives,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_spelling_variants": oracle.SPELLING,
+    "op12_tiled_vectors": oracle.VECTORS,
+    "op13_hard_negatives": oracle.NEGATIVES,
+}
