@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -160,31 +161,47 @@ _PIECES = f"""filter(flatten(transform(split(text, '\\n'), (line, l) ->
     transform(split(line, '(?<=[.!?])\\\\s+'), (p, k) -> struct(
         p as raw, l as line, k as part, split({_NORMAL.format("p")}, ' ') as words
     )))), x -> x.words[0] <> '')"""
-#: The bigrams inside each piece, and the one that joins it with the piece before.
-_GRAMS = f"""transform(pieces, (p, k) -> struct(
-    array_distinct({_PAIRS.format("p.words")}) as inner,
-    if(k = 0, array(), array(concat(element_at(get(pieces, k - 1).words, -1), ' ', p.words[0]))) as bridge))"""
 _SUMS = "aggregate({0}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + {1})))"
-_BOUNDS = """flatten(transform(fits, t -> transform(array(transform(grams, g ->
-    size(array_intersect(t.grams, concat(g.inner, g.bridge))))), shared -> struct(
-        t.license, t.order, t.grams, t.need, t.most, shared, {0} as total))))""".format(
-    _SUMS.format("shared", "x")
+#: Bigram p joins words p and p + 1. Equal ones stand side by side once sorted, so each finds the place
+#: of the one before it (-1: none); a window from word a holds as many distinct bigrams as it has
+#: places whose ``prev`` is less than a.
+_SORTED = "array_sort(transform({0}, (g, p) -> struct(g, p)))".format(_PAIRS.format("words"))
+_PREVS = """array_sort(transform(sorted, (x, k) -> struct(x.p as p,
+    if(k > 0 and get(sorted, k - 1).g = x.g, get(sorted, k - 1).p, -1) as prev,
+    get(filter(get(known, cast(pmod(crc32(encode(x.g, 'UTF-8')), {0}) as int)), y -> y.gram = x.g), 0).ids as ids)))"""
+#: Bigrams of each piece, the one that joins it with the piece before first.
+_BLOCKS = """transform(pieces, (x, k) ->
+    slice(prevs, greatest(sums[k], 1), sums[k + 1] - greatest(sums[k], 1)))"""
+_HELD = """transform(transform(fits, t -> struct(t, transform(blocks, b ->
+    filter(b, x -> array_contains(x.ids, t.order))) as held)), x -> struct(x.t, x.held, {0} as total))""".format(
+    _SUMS.format("x.held", "size(x)").replace("(a, x)", "(a, h)").replace("size(x)", "size(h)")
 )
-_CANDIDATES = """flatten(transform(bounds, b -> flatten(transform(
-    filter(sequence(0, size(pieces) - 1), i -> b.shared[i] > 0), i -> transform(filter(
-        sequence(i, cast(least(size(pieces) - 1, i + b.most) as int)), j -> b.shared[j] > 0
-            and b.total[j + 1] - b.total[i] >= b.need
-            and sums[j + 1] - sums[i] - 1 between b.need and b.most
-    ), j -> struct(i, j, b.license, b.order, b.grams))))))"""
-_SCORED = """filter(transform(transform(candidates, c -> struct(c, array_distinct(concat(
-    flatten(transform(slice(grams, c.i + 1, c.j - c.i + 1), g -> g.inner)),
-    flatten(transform(slice(grams, c.i + 2, c.j - c.i), g -> g.bridge)))) as own)), x -> struct(
-        round(-2.0D * size(array_intersect(x.own, x.c.grams)) / (size(x.own) + size(x.c.grams)), 12) as cost,
-        x.c.j - x.c.i as more, x.c.order, x.c.i, x.c.j, size(x.c.grams) as n, x.c.license)),
-    x -> x.cost <= -{0}D)"""
+#: For each template and first piece the best last piece, the nearest on ties: running counts of distinct
+#: bigrams, and of those that the template holds, give the score of every last piece.
+_SCORED = """filter(flatten(transform(held, h -> transform(
+    filter(sequence(0, size(pieces) - 1), i -> size(h.held[i]) > 0
+        and h.total[least(size(pieces), i + h.t.most + 1)] - h.total[i] >= h.t.need),
+    i -> transform(array(aggregate(
+        transform(
+            filter(sequence(i, cast(least(size(pieces) - 1, i + h.t.most) as int)),
+                k -> sums[k + 1] - sums[i] - 1 <= h.t.most),
+            k -> struct(k,
+                size(filter(blocks[k], x -> x.p >= sums[i] and x.prev < sums[i])) as own,
+                size(filter(h.held[k], x -> x.p >= sums[i] and x.prev < sums[i])) as common,
+                size(h.held[k]) > 0 and sums[k + 1] - sums[i] - 1 >= h.t.need as ends)),
+        struct(0 as own, 0 as common, 1.0D as cost, i as j),
+        (s, x) -> struct(
+            s.own + x.own as own,
+            s.common + x.common as common,
+            if(x.ends, least(s.cost, round(-2.0D * (s.common + x.common) / (s.own + x.own + h.t.n), 12)), s.cost) as cost,
+            if(x.ends and round(-2.0D * (s.common + x.common) / (s.own + x.own + h.t.n), 12) < s.cost, x.k, s.j) as j)
+    )), s -> struct(s.cost, s.j - i as more, h.t.order, i, s.j as j, h.t.n, h.t.license))[0]
+))), x -> x.cost <= -{0}D)"""
 _BEST = """aggregate(slice(scored, 2, size(scored)), slice(scored, 1, 1), (kept, x) -> if(
     exists(kept, k -> k.i <= x.j and x.i <= k.j and greatest(k.n, x.n) <= 2 * least(k.n, x.n)),
     kept, concat(kept, array(x))))"""
+#: Lists of known bigrams by the remainder of their checksum.
+_LISTS = 1024
 #: Whether a window is a unit: one piece, or all pieces of one line.
 _UNIT = """best.more = 0 or (pieces[best.i].line = pieces[best.j].line
     and (best.i = 0 or get(pieces, best.i - 1).line <> pieces[best.i].line)
@@ -209,11 +226,19 @@ def windows(
                 F.array(*map(F.lit, v)).alias("grams"),
                 F.lit(math.ceil(len(v) * low - 1e-9)).alias("need"),
                 F.lit(math.ceil(2 * len(v) * high)).alias("most"),
+                F.lit(len(v)).alias("n"),
             )
             for i, (k, v) in enumerate(held.items())
         ]
     )
-    known = F.array(*map(F.lit, sorted({g for v in held.values() for g in v})))
+    known = sorted({g for v in held.values() for g in v})
+    lists: list[list[Column]] = [[] for _ in range(_LISTS)]
+    for gram in known:
+        ids = F.array(*[F.lit(i) for i, v in enumerate(held.values()) if gram in v])
+        lists[zlib.crc32(gram.encode()) % _LISTS].append(F.struct(F.lit(gram).alias("gram"), ids.alias("ids")))
+    nothing = F.array().cast("array<struct<gram:string,ids:array<int>>>")
+    table_of_known = F.array(*[F.array(*x) if x else nothing for x in lists])
+    known = F.array(*map(F.lit, known))
     least = min(math.ceil(len(v) * low - 1e-9) for v in held.values())
     rows = documents.where(F.lower(F.col(text)).rlike("|".join(some)))
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -229,10 +254,16 @@ def windows(
     rows = step(rows, hits=F.array_intersect(known, F.expr(_PAIRS.format("words")))).drop("words")
     rows = rows.where(F.size("hits") >= least)
     rows = step(rows, fits=F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], F.col("hits"))) >= t["need"]))
-    rows = step(rows.where(F.size("fits") > 0), pieces=_PIECES)
-    rows = step(rows, grams=_GRAMS, sums=_SUMS.format("pieces", "size(x.words)"), bounds=_BOUNDS)
-    rows = step(rows, candidates=_CANDIDATES).where(F.size("candidates") > 0)
-    rows = step(rows, scored="array_sort(" + _SCORED.format(threshold) + ")").where(F.size("scored") > 0)
+    rows = rows.where(F.size("fits") > 0).select(
+        "doc_id", "text", F.transform("fits", lambda t: t.dropFields("grams")).alias("fits")
+    )
+    rows = step(rows, pieces=_PIECES).drop("text")
+    rows = step(rows, sums=_SUMS.format("pieces", "size(x.words)"), words="flatten(pieces.words)")
+    rows = step(rows.withColumn("pieces", F.transform("pieces", lambda p: p.dropFields("words"))), sorted=_SORTED).drop("words")
+    rows = step(rows.withColumn("known", table_of_known), prevs=_PREVS.format(_LISTS)).drop("sorted", "known")
+    rows = step(rows, blocks=_BLOCKS).drop("prevs")
+    rows = step(rows, held=_HELD)
+    rows = step(rows, scored="array_sort(" + _SCORED.format(threshold) + ")").drop("held", "blocks").where(F.size("scored") > 0)
     rows = rows.select("doc_id", "pieces", F.explode(F.expr(_BEST)).alias("best"))
     rows = rows.where(~F.expr(_UNIT) | F.col("best.license").isin(*whole))
     return rows.select(

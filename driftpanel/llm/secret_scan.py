@@ -19,6 +19,7 @@ rows have equal findings; two spans with the same place and kind are one.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -76,13 +77,18 @@ _LEX = re.compile(
 _NAME = re.compile(r"[-*&@]*[A-Za-z_$][\w$.-]*", re.ASCII)
 _KEY = re.compile(r"\s*(?::|=(?!=))")
 _CALL = re.compile(r"[ \t]*[(\[]")
-_PEM = re.compile(r"[ \t]*(-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----)", re.DOTALL)
+_PEM_HEAD = re.compile(r"[ \t]*(-----BEGIN [A-Z0-9 ]+-----)")
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_EMPTY_LINE = re.compile(r"\n[ \t]*\r?(?=\n)")
+_INDENT = re.compile(r"[^\S\n]*")
+_SPACE = re.compile(r"\s*")
 _LONG_TEXT = {q: re.compile(rf"{q}((?:[^{q}\\]|\\.)*){q}", re.DOTALL) for q in "\"'"}
 _BLOCK = re.compile(r"[ \t]*[|>][+\-0-9]*[ \t]*(?:#[^\n]*)?\n")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 _SET = {"=", ":", ":=", "=>"}
 
 
+@functools.lru_cache(1 << 14)
 def name_score(name: str) -> float:
     parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower()))
     return max((s for key, s in SENSITIVE.items() if parts.issuperset(key)), default=0.0)
@@ -107,6 +113,67 @@ def body(value: str) -> str:
     return "".join(line.strip() for line in value.split("\n"))
 
 
+class _Value:
+    """What ``value_score`` needs of a value that is put together from pieces, and a tree of the places
+    that they come from. Joining costs the distinct characters, not the length, so constants that are
+    made of constants many times over stay small."""
+
+    __slots__ = ("text", "length", "counts", "head", "inner", "before", "after", "pem", "places")
+
+    def __init__(self, text: str = "", start: int = 0, end: int = 0):
+        #: As written, until it is measured; a value that is neither joined nor scored never is.
+        self.text: str | None = text
+        #: A place (start, end), a pair of trees, or nothing.
+        self.places = (start, end) if start < end else None
+
+    def __bool__(self) -> bool:
+        return self.text is None or len(self.text) > 0
+
+    def measured(self) -> _Value:
+        if self.text is not None:
+            self.pem = "-----" in self.text
+            own = body(self.text)
+            self.length, self.counts, self.head = len(own), Counter(own), own[:16]
+            bare = own.strip()
+            self.inner = " " in bare
+            self.before = bool(bare) and " " in own[: len(own) - len(own.lstrip())]
+            self.after = " " in own[len(own.rstrip()) :]
+            if self.text:
+                self.text = None
+        return self
+
+    def join(self, other: _Value) -> _Value:
+        if not self:
+            return other
+        self.measured()
+        other.measured()
+        out = _Value()
+        out.text = None
+        out.length, out.head, out.pem = self.length + other.length, (self.head + other.head)[:16], self.pem or other.pem
+        out.counts = self.counts + other.counts
+        filled = [any(not c.isspace() for c in v.counts) for v in (self, other)]
+        out.inner = self.inner or other.inner or (all(filled) and (self.after or other.before))
+        out.before = self.before if filled[0] else (filled[1] and (self.after or other.before))
+        out.after = other.after or (not filled[1] and self.after)
+        out.places = (self.places, other.places) if self.places and other.places else self.places or other.places
+        return out
+
+    def score(self) -> float:
+        """``value_score`` of the whole."""
+        self.measured()
+        if self.length < 6 or self.inner or (self.length <= 16 and self.head.lower() in PLACEHOLDERS):
+            return 0.0
+        if re.match(r"[$<{%]|x{3,}|\*{3,}", self.head, re.I):
+            return 0.0
+        bits = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        signs = "".join(self.counts)
+        classes = sum(bool(re.search(p, signs)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, self.length / 12) * min(1.0, bits / 3) * min(1.0, 0.4 + 0.3 * classes)
+
+
+_NOTHING = _Value()
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Places of the literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
@@ -120,49 +187,56 @@ class _Bracket:
 
     def __init__(self, sign: str, score: float, head: list | None, value: bool, ends: int):
         self.sign, self.score, self.head, self.value, self.ends = sign, score, head, value, ends
-        self.found: list[tuple[int, int]] = []
+        self.found: list[tuple] = []
 
 
 class _Lexer:
-    """One pass over the tokens of a text."""
+    """One pass over the tokens of a text. What is found, remembered or looked up ahead costs time in
+    proportion to the text: findings stay trees until the end, and a search that ended somewhere is
+    not made again before that place."""
 
     def __init__(self, text: str):
         self.text = text
-        self.constants: dict[str, tuple[str, tuple]] = {}
-        self.found: set[tuple[int, int]] = set()
+        self.constants: dict[str, _Value] = {}
+        #: Trees of places, or lists of such of given-up brackets, each with where it stops to count.
+        self.found: list[tuple] = []
         self.stack: list[_Bracket] = []
+        self.signs: Counter[str] = Counter()
+        self.valued = 0
         #: Name, sensitivity and whether no value was seen yet; the value so far; whether one may follow.
         self.head: list | None = None
-        self.value, self.places, self.wanted, self.quoted = "", [], False, False
+        self.value, self.wanted, self.quoted = _NOTHING, False, False
         self.empty_line = -1
+        self.ahead: dict[object, int] = {}
+        self.line, self.line_to, self.text_from = 0, 0, -1
 
     def inherited(self) -> float:
         return self.stack[-1].score if self.stack else 0.0
 
-    def report(self, places) -> None:
-        (self.stack[-1].found.extend if self.stack else self.found.update)(places)
+    def report(self, tree, ends: float = math.inf) -> None:
+        (self.stack[-1].found if self.stack else self.found).append((tree, ends))
 
     def finish(self) -> None:
         """The value ends here."""
         if self.value:
-            places = tuple(p for p in self.places if p[0] < p[1])
             score = self.inherited()
             if self.head:
                 score = max(score, self.head[1])
                 if self.head[2]:
-                    self.constants[self.head[0]] = (self.value, places)
+                    self.constants[self.head[0]] = self.value
                     self.head[2] = False
-            if places and score and score * value_score(body(self.value)) >= CUTOFF:
-                self.report(places)
-        self.value, self.places, self.quoted = "", [], False
+            if self.value.places and score and score * self.value.score() >= CUTOFF:
+                self.report(self.value.places)
+        self.value, self.quoted = _NOTHING, False
 
     def end(self) -> None:
         self.finish()
         self.head, self.wanted = None, False
 
     def add(self, value: str, start: int, end: int) -> None:
-        self.value += value
-        self.places.append((start, end))
+        if self.value and self.value.measured().pem:
+            value = value.replace("\\n", "\n")
+        self.value = self.value.join(_Value(value, start, end))
         self.wanted, self.quoted = False, True
 
     def opened(self, sign: str, at: int) -> None:
@@ -170,39 +244,88 @@ class _Lexer:
         score = max(self.inherited(), self.head[1] if self.head else 0.0)
         self.finish()
         if at > self.empty_line:
-            found = re.compile(r"\n[ \t]*\r?(?=\n)").search(self.text, at)
+            found = _EMPTY_LINE.search(self.text, at)
             self.empty_line = found.start() if found else len(self.text)
-        self.stack.append(_Bracket(sign, score, self.head, direct, self.empty_line))
+        own = _Bracket(sign, score, self.head, direct, self.empty_line)
+        self.stack.append(own)
+        self.signs[sign] += 1
+        self.valued += bool(own.value or own.score)
         self.wanted = True
 
+    def popped(self) -> _Bracket:
+        own = self.stack.pop()
+        self.signs[own.sign] -= 1
+        self.valued -= bool(own.value or own.score)
+        return own
+
     def closed(self, sign: str) -> None:
         self.finish()
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].sign == _CLOSES[sign]), None)
-        if at is None:
+        if not self.signs[_CLOSES[sign]]:
             self.head, self.wanted = None, False
             return
-        while len(self.stack) > at + 1:
-            self.given_up(self.stack.pop())
-        own = self.stack.pop()
-        self.report(own.found)
+        while self.stack[-1].sign != _CLOSES[sign]:
+            self.given_up(self.popped())
+        own = self.popped()
+        if own.found:
+            self.report(own.found)
         self.head, self.wanted = own.head, False
 
     def given_up(self, own: _Bracket) -> None:
-        self.report(p for p in own.found if p[0] < own.ends)
-
-    def open_value(self) -> bool:
-        """Whether an open bracket belongs to a value."""
-        return any(b.value or b.score for b in self.stack)
+        if own.found:
+            self.report(own.found, own.ends)
+
+    def places(self) -> list[tuple[int, int]]:
+        """The places of all that was found, each tree read once, from the latest end down."""
+        trees, lists = [], [(self.found, math.inf)]
+        while lists:
+            entries, limit = lists.pop()
+            for tree, ends in entries:
+                (lists if isinstance(tree, list) else trees).append((tree, min(limit, ends)))
+        found: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        for tree, limit in sorted(trees, key=lambda t: -t[1]):
+            left = [tree]
+            while left:
+                node = left.pop()
+                if id(node) in seen:
+                    continue
+                seen.add(id(node))
+                if isinstance(node[0], int):
+                    if node[0] < limit:
+                        found.add(node)
+                else:
+                    left += node
+        return sorted(found)
+
+    def next(self, pattern, at: int) -> int:
+        """Where the pattern starts at or after ``at``; the end of the text if nowhere."""
+        if self.ahead.get(pattern, -1) < at:
+            if isinstance(pattern, str):
+                to = self.text.find(pattern, at)
+            else:
+                to = m.start() if (m := pattern.search(self.text, at)) else -1
+            self.ahead[pattern] = to if to >= 0 else len(self.text)
+        return self.ahead[pattern]
+
+    def indent(self, at: int) -> int:
+        """White space before the text of the line, up to ``at``; places do not decrease."""
+        to = self.text.rfind("\n", self.line_to, at)
+        if to >= 0:
+            self.line, self.text_from = to + 1, -1
+        self.line_to = max(at, self.line)
+        if self.text_from < 0:
+            self.text_from = _INDENT.match(self.text, self.line).end()
+        return min(self.text_from, at) - self.line
 
     def newline(self, at: int) -> int:
         """Where to read on after the line break before ``at``."""
         text = self.text
-        if self.stack and self.open_value():
+        if self.stack and self.valued:
             return at
         while self.stack:
-            self.given_up(self.stack.pop())
+            self.given_up(self.popped())
         if self.head and (self.wanted or self.quoted):
-            m = re.compile(r"\s*").match(text, at)
+            m = _SPACE.match(text, at)
             to = m.end()
             line = text[to : text.find("\n", to) if "\n" in text[to : to + 400] else to + 400]
             first = line[:1]
@@ -225,9 +348,17 @@ class _Lexer:
         if self.stack or self.head:
             return at
         text = self.text
-        to = min((x for x in (text.find("=", at), text.find(":", at)) if x >= 0), default=len(text))
+        to = min(self.next("=", at), self.next(":", at))
         return max(at, text.rfind("\n", at, to) + 1) if to < len(text) else to
 
+    def pem(self, at: int):
+        """The place of a PEM block that starts here, up to the first end mark after its head."""
+        head = _PEM_HEAD.match(self.text, at)
+        if not head:
+            return None
+        to = self.next(_PEM_END, head.end())
+        return (head.start(1), _PEM_END.match(self.text, to).end()) if to < len(self.text) else None
+
     def block(self, at: int, indent: int) -> None:
         """A YAML block scalar whose lines start at ``at``."""
         to, text = at, self.text
@@ -262,14 +393,13 @@ class _Lexer:
                 if token in _SET and before and (before[0] in ("word", "text") or _NAME.fullmatch(before[1])):
                     name = before[1].strip("\"'")
                     self.finish()
-                    line = text.rfind("\n", 0, start) + 1
-                    indent = len(text[line:start]) - len(text[line:start].lstrip())
+                    indent = self.indent(start)
                     self.head, self.wanted = [name, name_score(name), True, indent], True
                     if token == ":" and (own := _BLOCK.match(text, at)):
                         self.block(own.end(), indent)
-                    elif own := _PEM.match(text, at) if text.startswith("-----BEGIN", at + (text[at : at + 1] == " ")) else None:
-                        self.add(own.group(1), own.start(1), own.end(1))
-                        at = own.end()
+                    elif text.startswith("-----BEGIN", at + (text[at : at + 1] == " ")) and (own := self.pem(at)):
+                        self.add(text[own[0] : own[1]], *own)
+                        at = own[1]
                         self.end()
                 else:
                     self.end()
@@ -305,14 +435,12 @@ class _Lexer:
                     at = text.index("\n", at) + 1
                     continue
                 if self.wanted and token in self.constants:
-                    own = self.constants[token]
-                    self.value += own[0]
-                    self.places += own[1]
+                    self.value = self.value.join(self.constants[token])
                     self.wanted = False
                 elif self.wanted and kind == "word" and _CALL.match(text, at):
                     pass
                 elif here or (self.wanted and not self.value and self.head and not self.stack):
-                    self.value, self.places, self.wanted = token, [(start, at)], False
+                    self.value, self.wanted = _Value(token, start, at), False
                 elif self.stack:
                     self.finish()
                     self.wanted = False
@@ -333,8 +461,8 @@ class _Lexer:
             before = (kind, token)
         self.finish()
         while self.stack:
-            self.given_up(self.stack.pop())
-        return sorted(self.found)
+            self.given_up(self.popped())
+        return self.places()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -5,8 +5,9 @@ which leaves every cosine as it is. Two vectors at the wanted cosine lie at most
 apart, so on each of the two leading axes their slabs of that width are the same or adjacent; only such
 slabs of one label are compared, in tiles of bounded bytes. In a tile pair the products are summed over
 leading axes first; what the remaining axes can add is at most the product of the two suffix norms, and
-pairs that cannot reach the cosine are dropped before the next axes are read. No vector that could be
-linked is left out; a pair within 1e-9 of the cosine is decided by its product on the given axes.
+pairs that cannot reach the cosine are dropped before the next axes are read. Sums are in single
+precision with a margin for their error; a pair inside the margin is decided by its cosine in double
+precision on the given axes, so no link is lost or gained.
 
 Equal vectors of a label are one node from the start and are counted, not compared. A tile pair sends on
 one row per linked node: how many vectors it links there, and one node that it is connected with.
@@ -20,26 +21,27 @@ gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftpanel.llm import near
 from driftpanel.session import scratch_path
 
-#: Bytes of a tile's vectors in double precision.
-TILE_BYTES = 16 << 20
+#: Bytes of a tile's vectors in single precision.
+TILE_BYTES = 32 << 20
 #: Rows of the blocks in which a tile pair is multiplied.
 STRIP = 1024
 #: Shares of the axes after which hopeless pairs are dropped.
 STAGES = (0.25, 0.5, 1.0)
 #: Beyond this share of pairs left, a block goes on as a whole matrix.
 DENSE = 0.05
-CLOSE = 1e-9
+#: Bound on the error of a product of unit vectors of 64 axes in single precision.
+CLOSE = 1e-5
 
 
 def usable(embedding: str) -> F.Column:
@@ -127,20 +129,22 @@ def connect(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def linked(
-    x: np.ndarray, y: np.ndarray, turned_x: tuple, turned_y: tuple, cuts: list[int], cosine: float, upper: bool
+    x: tuple, y: tuple, cuts: list[int], cosine: float, upper: bool, exact: Callable
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the rows of x and y whose cosine reaches the threshold; ``upper``: i < j only.
 
-    ``turned`` holds the rows along the principal axes and their norms after each of ``cuts``.
+    x and y hold rows along the principal axes and their norms after each of ``cuts``; ``exact`` gives the
+    cosines of places (i, j) in double precision.
     """
-    (tx, left_x), (ty, left_y) = turned_x, turned_y
+    (tx, left_x), (ty, left_y) = x, y
+    close = CLOSE * max(1.0, cuts[-1] / 64)
     done = cuts[0]
     total = tx[:, :done] @ ty[:, :done].T
     for stage, cut in enumerate(cuts):
         if stage:
             total += tx[:, done:cut] @ ty[:, done:cut].T
             done = cut
-        hopeful = total >= (cosine - CLOSE) - left_x[:, stage, None] * left_y[None, :, stage]
+        hopeful = total >= (cosine - close) - left_x[:, stage, None] * left_y[None, :, stage]
         if upper:
             hopeful = np.triu(hopeful, 1)
         if done == cuts[-1] or np.count_nonzero(hopeful) <= DENSE * hopeful.size:
@@ -150,14 +154,29 @@ def linked(
     for later, cut in enumerate(cuts[stage + 1 :], stage + 1):
         sums = sums + np.einsum("ij,ij->i", tx[i, done:cut], ty[j, done:cut])
         done = cut
-        keep = sums >= (cosine - CLOSE) - left_x[i, later] * left_y[j, later]
+        keep = sums >= (cosine - close) - left_x[i, later] * left_y[j, later]
         i, j, sums = i[keep], j[keep], sums[keep]
-    unsure = np.flatnonzero(np.abs(sums - cosine) <= CLOSE)
-    sums[unsure] = np.einsum("ij,ij->i", x[i[unsure]], y[j[unsure]])
+    sums = sums.astype(np.float64)
+    unsure = np.flatnonzero(np.abs(sums - cosine) <= close)
+    if len(unsure):
+        sums[unsure] = exact(i[unsure], j[unsure])
     keep = sums >= cosine
     return i[keep], j[keep]
 
 
+def _cosines(given: pa.Array, dim: int, p: int, q: int) -> Callable:
+    """Cosines of rows p + i and q + j of the vectors as given, in double precision."""
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for at in range(0, len(i), STRIP):
+            x, y = (unit(given.take(pa.array(k[at : at + STRIP] + s)), dim) for k, s in ((i, p), (j, q)))
+            out[at : at + STRIP] = np.einsum("ij,ij->i", x, y)
+        return out
+
+    return exact
+
+
 def _comparing(turns: dict[int, np.ndarray], cosine: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in near.by_cell(batches):
@@ -165,25 +184,30 @@ def _comparing(turns: dict[int, np.ndarray], cosine: float):
             order = np.argsort(sides, kind="stable")
             sides = sides[order]
             dim = cell["dim"][0].as_py()
-            x = unit(cell["embedding"].combine_chunks(), dim)[order]
+            given = cell["embedding"].combine_chunks().take(pa.array(order))
             nodes, sizes = cell["node"].to_numpy()[order], cell["size"].to_numpy()[order]
             alone = sides[0] == 2
             middle = len(sides) if alone else int(np.searchsorted(sides, 1))
             if not alone and middle in (0, len(sides)):
                 continue
-            tx = x @ turns[dim]
+            tx = np.empty((len(sides), dim), np.float32)
             cuts = sorted({max(1, round(dim * s)) for s in STAGES})
-            left = np.stack([np.sqrt((tx[:, c:] ** 2).sum(axis=1)) for c in cuts], axis=1)
-            links = np.zeros(len(x), np.int64)
-            classes = np.arange(len(x))
-            first, second = (range(0, middle, STRIP), range(0 if alone else middle, len(x), STRIP))
+            left = np.empty((len(sides), len(cuts)), np.float32)
+            for p in range(0, len(sides), STRIP):
+                part = unit(given.slice(p, STRIP), dim) @ turns[dim]
+                tx[p : p + STRIP] = part
+                left[p : p + STRIP] = np.stack([np.sqrt((part[:, c:] ** 2).sum(axis=1)) for c in cuts], axis=1)
+            links = np.zeros(len(tx), np.int64)
+            classes = np.arange(len(tx))
+            first, second = (range(0, middle, STRIP), range(0 if alone else middle, len(tx), STRIP))
             for p in first:
                 a = slice(p, min(p + STRIP, middle))
                 for q in second:
                     if alone and q < p:
                         continue
-                    b = slice(q, min(q + STRIP, len(x)))
-                    i, j = linked(x[a], x[b], (tx[a], left[a]), (tx[b], left[b]), cuts, cosine, alone and p == q)
+                    b = slice(q, min(q + STRIP, len(tx)))
+                    exact = _cosines(given, dim, p, q)
+                    i, j = linked((tx[a], left[a]), (tx[b], left[b]), cuts, cosine, alone and p == q, exact)
                     links[a] += np.bincount(i, sizes[b][j], a.stop - a.start).astype(np.int64)
                     links[b] += np.bincount(j, sizes[a][i], b.stop - b.start).astype(np.int64)
                     connect(classes, i + p, j + q)
@@ -240,17 +264,29 @@ def near_vectors(
     places = T.StructType([*bare.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("s1", "s2"))])
     placed = bare.mapInArrow(_placing(turns, width), places)
 
-    room = F.greatest(F.lit(STRIP), F.floor(F.lit(TILE_BYTES / 8) / F.col("dim")))
+    room = F.greatest(F.lit(STRIP), F.floor(F.lit(TILE_BYTES / 4) / F.col("dim")))
     slabs = placed.groupBy(*group, "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
-    slabs = kept(slabs.select(*group, "s1", "s2", F.ceil(F.col("n") / room).cast("int").alias("tiles")), "slabs")
+    # A label that fits into one tile has one slab.
+    single = F.sum("n").over(Window.partitionBy(*group)) <= room
+    slabs = slabs.select(
+        *group, "s1", "s2", F.ceil(F.col("n") / room).cast("int").alias("tiles"), single.alias("single")
+    )
+    slabs = kept(slabs, "slabs")
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = slabs.withColumn("t1", F.explode(F.transform(steps, lambda d: F.col("s1") + d)))
+    around = slabs.where("not single").withColumn("t1", F.explode(F.transform(steps, lambda d: F.col("s1") + d)))
     around = around.withColumn("t2", F.explode(F.transform(steps, lambda d: F.col("s2") + d)))
     others = slabs.select(*group, F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("tiles").alias("of"))
     around = around.join(others, [*group, "t1", "t2"]).groupBy(*group, "s1", "s2", "tiles")
     around = around.agg(F.collect_list(F.struct("t1", "t2", "of")).alias("around"))
+    around = around.withColumn("at", F.struct("s1", "s2"))
+    alone = F.array(F.struct(F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(1).alias("of")))
+    singles = slabs.where("single").select(
+        *group, "s1", "s2", F.lit(1).alias("tiles"), alone.alias("around"),
+        F.struct(F.lit(0).alias("s1"), F.lit(0).alias("s2")).alias("at"),
+    )
+    around = around.unionByName(singles)
 
-    tile = F.struct("s1", "s2", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("part"))
+    tile = F.struct(F.col("at.s1").alias("s1"), F.col("at.s2").alias("s2"), F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("part"))
     pairs = placed.join(around, [*group, "s1", "s2"]).withColumn("own", tile)
     every = F.flatten(
         F.transform(

@@ -95,3 +95,56 @@ def test_op9_wrapped(spark):
     got = {(r.doc_id, r.license) for r in found if r.dice >= 0.95}
     assert got >= want
     assert [(r.license, r.dice) for r in found if r.doc_id == 101] == [("MIT", 1.0)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x = y\n" * 400_000,
+        "password = abcdefgh1Z\n" * 100_000,
+        "key = -----BEGIN RSA-----\n" * 100_000,
+        "key = -----BEGIN RSA-----\n-----END foo\n" * 50_000,
+        "k = v + " * 300_000,
+        "token = token + 'aB3'\n" * 100_000,
+        "password = " + "'aB3dEf' + " * 200_000,
+        "(" * 500_000 + "]" * 500_000,
+        "token = [" * 150_000 + " 'Zx81kPq02Lm' " + "]" * 150_000,
+        "[ password = 'Zx81kPq02Lm'\n" * 70_000,
+    ],
+    ids=["equals", "assign", "begin", "ends", "plus", "grow", "chain", "brackets", "deep", "open"],
+)
+def test_op8_hostile_texts_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.literals(text[: len(text) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    secret_scan.literals(text)
+    assert time.process_time() - began < 8 * quarter + 1
+
+
+def test_op8_constants_of_constants():
+    """Sixty doublings: the value is never written out, and its only place is found once."""
+    text = "a = 'Zx81kPq02Lm'\n" + "b = a + a\na = b + b\n" * 30 + "password = a\n"
+    assert [text[i:j] for i, j in secret_scan.literals(text)] == ["Zx81kPq02Lm"]
+    many = "".join(f"c{i} = 'Zx8{i}kPq'\n" for i in range(300))
+    many += "password = " + " + ".join(f"c{i}" for i in range(300)) + "\n"
+    assert len(secret_scan.literals(many)) == 300
+
+
+def test_op8_joined_values_score_as_written_in_one():
+    for pieces in (["Zx81", "kPq02Lm"], ["ab ", "cd efgh"], [" x1Y", "z2Wq "], ["chan", "geme"], ["${", "ABC}def"], ["a", "b", "c", "dE1", "f2"]):
+        value = secret_scan._Value()
+        for piece in pieces:
+            value = value.join(secret_scan._Value(piece, 0, 1))
+        assert value.score() == pytest.approx(secret_scan.value_score("".join(pieces)))
+
+
+def test_op9_repeated_licences(spark):
+    """Twelve copies of one whole text, and three of another, in one document, apart from each other."""
+    texts = {k: license_scan.WHOLE[k] for k in ("Apache-2.0-text", "MIT-text")}
+    parts = [texts["Apache-2.0-text"]] * 12 + [texts["MIT-text"]] * 3
+    text = "\nSome words that are not a licence at all.\n".join(parts)
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    whole = [r for r in found if r.license in texts]
+    assert sorted(r.license for r in whole) == ["Apache-2.0-text"] * 12 + ["MIT-text"] * 3
+    assert min(r.dice for r in whole) >= 0.99 and len({r.unit for r in whole}) == 15
