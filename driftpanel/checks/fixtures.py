@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from driftpanel.operators.joins import left_join
-from driftpanel.operators.panel import add_density
 from driftpanel.operators.reshape import gather_by_period, spread
+from driftpanel.plans import prepare
 from driftpanel.plans.spec import PanelSpec
 
 BASE, TARGET = 1996, 2000
@@ -88,9 +88,19 @@ def cells(
         F.count(F.when(F.col("l_quantity") > 45, F.lit(1))).cast("double").alias("hu"),
         F.sum("l_quantity").alias("pop"),
         F.count("*").cast("double").alias("lines"),
+        F.avg("l_tax").alias("built"),
     )
 
 
+# Names of the source files for the columns of ``cells``, and of the densities they get.
+SOURCE_NAMES = {"unit": "GEOID20", "y": "NDVI", "built": "PCT_BUILT", "pop": "POP", "hu": "HU"}
+OWN_NAMES = {
+    **{source: own for own, source in SOURCE_NAMES.items()},
+    "POP_density": "pop_density",
+    "HU_density": "hu_density",
+}
+
+
 def areas(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     if unit == "supplier":
         return table(spark, sf_dir, "supplier").select(
@@ -109,10 +119,19 @@ def unit_panel(
     years: tuple[int, ...] | None = PERIODS,
 ) -> DataFrame:
     """Long panel: one row per unit, season, buffer and year, with densities."""
-    rows = left_join(
-        cells(spark, sf_dir, unit, years).drop("lines"), areas(spark, sf_dir, unit), ["unit"]
-    )
-    return add_density(rows, {"hu_density": "hu", "pop_density": "pop"})
+    rows = source_panel(spark, sf_dir, unit, years).withColumnsRenamed(OWN_NAMES)
+    return rows.drop("built")
+
+
+def source_panel(
+    spark: SparkSession,
+    sf_dir: str,
+    unit: str = "supplier",
+    years: tuple[int, ...] | None = PERIODS,
+) -> DataFrame:
+    """The same panel under the names of the source files."""
+    measures = cells(spark, sf_dir, unit, years).drop("lines").withColumnsRenamed(SOURCE_NAMES)
+    return prepare.block_panel(measures, areas(spark, sf_dir, unit).withColumnRenamed("unit", "GEOID20"))
 
 
 def unit_totals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +155,18 @@ def unit_totals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tract_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier panel whose counts are per unit and year, repeated in each season."""
-    rows = cells(spark, sf_dir, "supplier").select("unit", "season", "buffer", "year", "y")
-    joined = left_join(
-        rows.filter(F.col("buffer") == 1000), unit_totals_long(spark, sf_dir), ["unit", "year"]
+    rows = cells(spark, sf_dir, "supplier").filter(F.col("buffer") == 1000)
+    measures = rows.select(
+        F.col("unit").alias("tract"),
+        "season",
+        "buffer",
+        "year",
+        F.col("y").alias("weighted_nvdi"),
+        F.col("built").alias("weighted_built"),
     )
-    return add_density(joined, {"hu_density": "hu", "pop_density": "pop"})
+    units = unit_totals_wide(spark, sf_dir).withColumnRenamed("unit", "GEOID20")
+    joined = prepare.tract_panel(measures, units.withColumn("GEOID20", F.col("GEOID20").cast("string")))
+    return joined.withColumnsRenamed({**OWN_NAMES, "tract": "unit"}).drop("built")
 
 
 def _label(unit: str) -> tuple[str, Column, Column]:

@@ -31,6 +31,10 @@ def rr(names: str | list[str], digits: int = 6) -> str:
     return ", ".join(r(n, n, digits) for n in names)
 
 
+def digits(names: str, count: int = 8) -> str:
+    return ", ".join(f"printf('%.{count - 1}e', {n} + 0.0) AS {n}" for n in names.split())
+
+
 def div(a: str, b: str) -> str:
     return f"({a}) / nullif({b}, 0)"
 
@@ -147,6 +151,14 @@ sql(
     "SELECT season, buffer, CAST(count(*) AS BIGINT) AS n FROM panel GROUP BY 1, 2 ORDER BY 1, 2",
     *long_panel(P),
 )
+sql(
+    "scenario_grid_from_data",
+    """SELECT s.season, b.buffer, y.year, CAST(count(p.unit) AS BIGINT) AS n
+  FROM (SELECT DISTINCT season FROM panel) s, (SELECT DISTINCT buffer FROM panel) b,
+  (SELECT DISTINCT year FROM panel) y LEFT JOIN panel p
+  ON p.season = s.season AND p.buffer = b.buffer AND p.year = y.year GROUP BY 1, 2, 3""",
+    *long_panel(P, years=False),
+)
 sql(
     "semi_join_scenarios",
     f"SELECT {PANEL_COLS}, {rr('y hu')} FROM panel WHERE {scenario_filter(BLOCK4)}",
@@ -196,6 +208,11 @@ sql(
     "normalize_id",
     "SELECT c_custkey, TRY_CAST(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT) AS id FROM customer",
 )
+_WHOLE = "CAST(abs(round(c_acctbal)) AS BIGINT)"
+sql(
+    "normalize_id_numeric",
+    f"SELECT c_custkey, {_WHOLE} AS real, CAST(c_custkey AS BIGINT) AS whole, {_WHOLE} AS exact FROM customer",
+)
 sql("distinct_sorted", "SELECT DISTINCT season, buffer FROM panel ORDER BY 1, 2", *long_panel(P))
 CLEAN = f"year IN ({B}, {T}) AND y IS NOT NULL AND hu_density IS NOT NULL"
 sql(
@@ -333,6 +350,13 @@ sql(
     *wide(P),
     FIT,
 )
+FIT_DIGITS = f"{digits('intercept slope slope_se r2')}, {digits('t')}, n"
+sql(
+    "ols_by_stratum_digits",
+    f"SELECT season, buffer, {FIT_DIGITS} FROM (SELECT *, {div('slope', 'slope_se')} AS t FROM fit)",
+    *wide(P),
+    FIT,
+)
 sql(
     "pseudo_residual",
     f"SELECT unit, season, buffer, {r('resid0', f'resid_{B}')}, {r('pred1', f'pred_{T}')}, "
@@ -426,6 +450,11 @@ sql(
 )
 DENSFIT = [*changes(P, BLOCK4), fit_cte("ch", "dfit", "change", "dx", "scenario")]
 sql("densification_ols", f"SELECT scenario, n, {rr('slope slope_se r2')} FROM dfit", *DENSFIT)
+sql(
+    "densification_ols_digits",
+    f"SELECT scenario, {FIT_DIGITS} FROM (SELECT *, {div('slope', 'slope_se')} AS t FROM dfit)",
+    *DENSFIT,
+)
 sql(
     "densification_ols_p",
     f"SELECT scenario, {r(t_tail('t', 'df'), 'slope_p')} FROM "
@@ -461,6 +490,29 @@ sql(
     *long_panel(P, years=False),
     *BANDS_JOINED,
 )
+_STRICT = {
+    "with gaps": lambda i: (
+        f"CASE WHEN count(*) = count(band{i}_{B} + band{i}_{T}) "
+        f"THEN {corr(f'band{i}_{B}', f'band{i}_{T}')} END"
+    ),
+    "filled": lambda i: corr(f"coalesce(band{i}_{B}, 0)", f"coalesce(band{i}_{T}, 0)"),
+}
+sql(
+    "corr_strict_bands",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS input, CAST(count(*) AS BIGINT) AS n, "
+        + ", ".join(r(made(i), f"r{i}") for i in range(1, 11))
+        + " FROM bands"
+        for name, made in _STRICT.items()
+    ),
+    *BANDS_JOINED,
+)
+sql(
+    "level_checks",
+    f"""SELECT CAST(count(*) AS BIGINT) AS n, {r(corr('pop', 'hu'), 'r_pop_hu')},
+  {r(corr('built', 'y'), 'r_built_y')} FROM panel""",
+    *[c.replace("avg(l_discount) AS y,", "avg(l_discount) AS y, avg(l_tax) AS built,") for c in long_panel(P, years=False)],
+)
 sql(
     "corr_complete",
     "SELECT CAST(count(*) AS BIGINT) AS n, "
@@ -795,6 +847,7 @@ def long_shares(name: str, groups) -> str:
 
 sql("composition_grouped", long_shares("age", BAND_GROUPS), *bands(P))
 sql("composition_share", long_shares("race", TYPES), *types(S))
+sql("composition_share_race", long_shares("race", TYPES), *types(P))
 sql(
     "head_by_key",
     f"SELECT * FROM ({long_shares('age', BAND_GROUPS)}) WHERE year = {B} ORDER BY unit LIMIT 3",
@@ -1040,6 +1093,75 @@ sql(
 )
 
 
+# Tract grain and ordered categories ------------------------------------------------------------
+
+sql(
+    "tract_ols",
+    f"SELECT season, buffer, {digits('intercept slope slope_se r2')}, n, {r(t_tail('t', 'df'), 'slope_p')} FROM "
+    "(SELECT * EXCLUDE (df), slope / slope_se AS t, CAST(df AS DOUBLE) AS df FROM tfit)",
+    *TRACT,
+)
+sql("tract_change_summary", summary("season, buffer", "trows"), *TRACT)
+sql(
+    "tract_transitions",
+    "SELECT season, buffer, "
+    + ", ".join(
+        f"CAST(count(*) FILTER (WHERE transition = '{t}') AS BIGINT) AS \"{t}\"" for t in TRANSITIONS
+    )
+    + " FROM trows GROUP BY 1, 2",
+    *TRACT,
+)
+TRACT_T = [
+    *TRACT,
+    "ts AS (SELECT unit, "
+    + ", ".join(f"max(change) FILTER (WHERE season = '{s}') AS {s}" for s in SEASONS)
+    + " FROM trows GROUP BY 1 HAVING count(change) = 2)",
+    paired("ts", [SEASONS]),
+    t_points("paired"),
+]
+sql(
+    "tract_paired_t",
+    f"""SELECT "first", "second", n, {rr("mean_diff sd_diff")}, df, {rr("se t")}, {r(t_tail('t', 'df'), 'p')},
+  {r("mean_diff - t95 * se", "lo")}, {r("mean_diff + t95 * se", "hi")} FROM paired JOIN point USING (df)""",
+    *TRACT_T,
+)
+_SCENARIO_CODES = ["Dormant 500 m", "Dormant 1000 m", "Dormant 2000 m", "Growing 500 m", "Growing 1000 m", "Growing 2000 m"]
+
+
+def code(column: str, levels: list[str]) -> str:
+    return f"CAST(list_position({levels}, {column}) AS INTEGER)"
+
+
+_TERCILES = ["Low Standard", "Mid Standard", "High Standard"]
+sql(
+    "tercile_ordered",
+    f"""SELECT CAST(row_number() OVER (ORDER BY scenario_code, tercile_code) AS INTEGER) AS place, * FROM (
+  SELECT scenario, {code('scenario', _SCENARIO_CODES)} AS scenario_code, bin AS tercile,
+  {code('bin', _TERCILES)} AS tercile_code, CAST(count(*) AS BIGINT) AS n,
+  {r('avg(change)', 'mean_change')}, {r('median(change)', 'median_change')}
+  FROM terc WHERE bin IS NOT NULL GROUP BY 1, 2, 3, 4)""",
+    *STANDARD,
+)
+sql(
+    "growth_ordered",
+    f"""SELECT CAST(row_number() OVER (ORDER BY growth_q_code NULLS FIRST) AS INTEGER) AS place, * FROM (
+  SELECT bin AS growth_q, {code('bin', GROWTH_LABELS)} AS growth_q_code, CAST(count(*) AS BIGINT) AS "all", """
+    + ", ".join(
+        f"CAST(count(*) FILTER (WHERE transition = '{t}') AS BIGINT) AS \"{t}\"" for t in TRANSITIONS
+    )
+    + " FROM growth GROUP BY 1, 2)",
+    *GROWTH,
+)
+sql(
+    "scenario_ordered",
+    f"""SELECT CAST(row_number() OVER (ORDER BY scenario_code) AS INTEGER) AS place, * FROM (
+  SELECT scenario, {code('scenario', _SCENARIO_CODES)} AS scenario_code, CAST(sum(n) AS BIGINT) AS n,
+  {r('sum(total) / sum(n)', 'mean_change')}, CAST(max(n) AS BIGINT) AS most_common
+  FROM (SELECT scenario, transition, count(*) AS n, sum(change) AS total FROM ch GROUP BY 1, 2) GROUP BY 1, 2)""",
+    *changes(P),
+)
+
+
 # Chart data and geometry -----------------------------------------------------------------------
 
 
@@ -1070,6 +1192,12 @@ sql(
     HIST,
     *histogram("SELECT ln(l_extendedprice) AS v FROM lineitem WHERE l_extendedprice > 0", True),
 )
+sql(
+    "histogram_log_density",
+    HIST,
+    *long_panel(P),
+    *histogram("SELECT ln(hu_density) AS v FROM panel WHERE hu_density > 0", True),
+)
 sql(
     "histogram_even",
     HIST,
@@ -1113,6 +1241,25 @@ def box(source: str, value: str, by: str) -> str:
 
 
 sql("boxplot_stats", box("ch", "change", "scenario"), *changes(P))
+sql("boxplot_baseline", box("ch", "y0", "scenario"), *changes(P))
+sql(
+    "boxplot_by_second_tercile",
+    box("known", "change", "scenario, tercile"),
+    *terciles(f"pct_b9_10_{T}", "9-10"),
+    "known AS (SELECT scenario, bin AS tercile, change FROM terc WHERE bin IS NOT NULL)",
+)
+sql(
+    "smooth_facets",
+    f"""SELECT scenario, tercile, CAST(i AS INTEGER) AS point, {rr('x fit se')},
+  {r('fit - t95 * se', 'lo')}, {r('fit + t95 * se', 'hi')} FROM (SELECT *, intercept + slope * x AS fit,
+  sqrt(rss / df) * sqrt(CAST(1 AS DOUBLE) / n + (x - xbar) * (x - xbar) / sxx) AS se
+  FROM (SELECT *, low + i * ((high - low) / 19) AS x
+  FROM sfit, (SELECT unnest(range(0, 20)) AS i))) JOIN point USING (df)""",
+    *STANDARD,
+    "known AS (SELECT *, bin AS tercile FROM terc WHERE bin IS NOT NULL)",
+    fit_cte("known", "sfit", "change", "delta_hu", "scenario, tercile"),
+    t_points("sfit"),
+)
 sql(
     "boxplot_by_tercile",
     box("known", "y0", "scenario, tercile"),

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftpanel.checks import fixtures as fx
-from driftpanel.functions import scalars
+from driftpanel.functions import categories, scalars
 from driftpanel.operators import assoc, chartdata, compose, geometry, infer, ols, panel
 from driftpanel.operators import residual, sample
-from driftpanel.operators.joins import full_join, keep_matching, scenario_table
+from driftpanel.operators.joins import full_join, grid_of, keep_matching, left_join, scenario_table
 from driftpanel.operators.reshape import (
     add_suffix,
     columns_matching,
+    count_table,
     format_columns,
     round_columns,
     spread,
@@ -27,6 +28,7 @@ from driftpanel.plans.spec import (
     BUFFERS,
     SCENARIO_ORDER,
     SEASONS,
+    TRANSITIONS,
 )
 from driftpanel.session import materialize, scratch_path
 from driftpanel.sources import tables
@@ -43,6 +45,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def significant(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
+    """Columns as text with so many significant digits, whatever their size."""
+    form = f"%.{digits - 1}e"
+    text = {c: F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c) + F.lit(0.0))) for c in columns}
+    return df.withColumns(text)
+
+
 def report(df: DataFrame, **digits: int) -> DataFrame:
     """Doubles rounded for comparison, negative zero made plain."""
     wanted = {
@@ -119,6 +128,15 @@ def scenario_grid(spark, sf):
     )
 
 
+@query
+def scenario_grid_from_data(spark, sf):
+    """Every season x buffer x year of the levels found, also where no unit has a row."""
+    rows = fx.unit_panel(spark, sf, "part", years=None)
+    factors = ["season", "buffer", "year"]
+    counts = rows.groupBy(*factors).agg(F.count("*").alias("n"))
+    return grid_of(rows, factors).join(counts, factors, "left").fillna(0, ["n"])
+
+
 @query
 def semi_join_scenarios(spark, sf):
     keys = ["season", "buffer"]
@@ -152,10 +170,8 @@ def select_by_pattern(spark, sf):
 
 @query
 def suffix_full_join(spark, sf):
-    sides = [
-        add_suffix(fx.year_bands(spark, sf, y).drop("YEAR"), f"_{y}", "BAND") for y in fx.PERIODS
-    ]
-    return report(full_join(*sides, on="tract20l"))
+    years = [fx.year_bands(spark, sf, y) for y in fx.PERIODS]
+    return report(prepare.two_year_counts(*years, fx.PERIODS, "BAND"))
 
 
 @query
@@ -180,6 +196,14 @@ def normalize_id(spark, sf):
     return rows.select("c_custkey", scalars.normalize_id("c_name").alias("id"))
 
 
+@query
+def normalize_id_numeric(spark, sf):
+    """Fractional, whole and decimal ids: the digits of the nearest whole number."""
+    rows = fx.table(spark, sf, "customer")
+    typed = {"real": "c_acctbal", "whole": F.col("c_custkey"), "exact": F.col("c_acctbal").cast("decimal(12,2)")}
+    return rows.select("c_custkey", *[scalars.normalize_id(c).alias(n) for n, c in typed.items()])
+
+
 @query
 def head_by_key(spark, sf):
     shares = compose.shares_long(
@@ -276,6 +300,20 @@ def ols_by_stratum_p(spark, sf):
     return report(ols.with_slope_p(fit).select("season", "buffer", "slope_p"))
 
 
+@query
+def ols_by_stratum_digits(spark, sf):
+    fit = ols.ols_by_stratum(wide(spark, sf, "part"), SPEC.y_base, SPEC.x_base, SPEC.strata)
+    columns = ["intercept", "slope", "slope_se", "r2", "t"]
+    return significant(fit, *columns).select(*SPEC.strata, *columns, "n")
+
+
+@query
+def densification_ols_digits(spark, sf):
+    fit = block.densification(stored_changes(spark, sf, "part"), ["scenario"])
+    columns = ["intercept", "slope", "slope_se", "r2", "t"]
+    return significant(fit, *columns).select("scenario", *columns, "n")
+
+
 @query
 def pseudo_residual(spark, sf):
     rows = changes(spark, sf, "part")
@@ -383,6 +421,24 @@ def corr_strict(spark, sf):
     )
 
 
+@query
+def corr_strict_bands(spark, sf):
+    """All ten bands, most with gaps, and their totals with gaps made 0, all complete."""
+    years = [fx.year_bands(spark, sf, y) for y in fx.PERIODS]
+    both = prepare.two_year_counts(*years, fx.PERIODS, "BAND")
+    pairs = {f"r{i}": (f"band{i}_1996", f"band{i}_2000") for i in range(1, 11)}
+    rows = assoc.correlate(both, pairs, strict=True).withColumn("input", F.lit("with gaps"))
+    filled = assoc.correlate(both.fillna(0.0), pairs, strict=True)
+    return report(rows.unionByName(filled.withColumn("input", F.lit("filled"))))
+
+
+@query
+def level_checks(spark, sf):
+    """Counts against each other, and built share against the outcome, before the analysis."""
+    rows = fx.source_panel(spark, sf, "part", years=None)
+    return report(prepare.level_checks(rows.withColumnRenamed("NDVI", "y"), SPEC))
+
+
 @query
 def corr_complete(spark, sf):
     sides = [add_suffix(fx.year_bands(spark, sf, y).drop("YEAR"), f"_{y}", "band") for y in fx.PERIODS]
@@ -556,9 +612,14 @@ def slope_ci(spark, sf):
 @query
 def composition_grouped(spark, sf):
     return report(
-        compose.shares_long(
-            fx.band_counts(spark, sf, "part"), "tract20l", fx.BAND_GROUPS, fx.PERIODS
-        )
+        prepare.age_shares(fx.band_counts(spark, sf, "part"), fx.PERIODS, "unit", fx.BAND_GROUPS)
+    )
+
+
+@query
+def composition_share_race(spark, sf):
+    return report(
+        prepare.race_shares(fx.type_counts(spark, sf, "part"), fx.PERIODS, "unit", fx.TYPE_GROUPS)
     )
 
 
@@ -741,6 +802,84 @@ def levels_by_tercile(spark, sf):
     return report(tract.levels_by_tercile(tercile_rows(spark, sf), "tercile", TRACT))
 
 
+# Tract grain, the tables of the block grain again ----------------------------------------------
+
+
+@query
+def tract_ols(spark, sf):
+    fit = ols.with_slope_p(
+        ols.ols_by_stratum(tract_rows(spark, sf), TRACT.y_base, TRACT.x_base, TRACT.strata)
+    )
+    columns = ["intercept", "slope", "slope_se", "r2"]
+    return report(significant(fit, *columns).select(*TRACT.strata, *columns, "n", "slope_p"))
+
+
+@query
+def tract_change_summary(spark, sf):
+    return report(block.change_summary(tract_rows(spark, sf), TRACT.strata, TRACT.label_digits))
+
+
+@query
+def tract_transitions(spark, sf):
+    return block.transition_table(tract_rows(spark, sf), TRACT.strata)
+
+
+@query
+def tract_paired_t(spark, sf):
+    rows = block.change_by_season(tract_rows(spark, sf), TRACT)
+    return report(infer.with_t_p(infer.paired_t(rows, [SEASONS])).drop("alternative"))
+
+
+# Ordered categories ----------------------------------------------------------------------------
+
+
+def ordered_rows(spark: SparkSession, sf: str):
+    """Tract rows whose scenario and tercile are categories."""
+    joined = left_join(tract_wide(spark, sf), demo(spark, sf), ["unit"])
+    rows = block.change_rows(materialize(joined, "tract"), TRACT, ordered=True)
+    share = "pct_Standard_Type_2000"
+    return tract.with_tercile(rows, share, "Standard", "tercile", SPEC.label_digits, ordered=True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Labels in place of categories, and the place of each row in their order."""
+    keys = categories.categories_of(df)
+    place = F.row_number().over(Window.orderBy(*keys)).alias("place")
+    return categories.plain(df.select(place, "*"), codes=True)
+
+
+@query
+def tercile_ordered(spark, sf):
+    """Change by scenario and tercile: Low, Mid, High, the scenarios in their own order."""
+    table = tract.change_by_tercile(ordered_rows(spark, sf), "tercile", "pct_Standard_Type_2000", TRACT)
+    return report(numbered(table.select("scenario", "tercile", "n", "mean_change", "median_change")))
+
+
+@query
+def growth_ordered(spark, sf):
+    """Growth quartiles as categories, pivoted by scenario, and bound to a total row per quartile."""
+    units = tract.one_per_unit(tract_rows(spark, sf), TRACT)
+    rows = tract.with_growth_quartile(units, digits=SPEC.label_digits, ordered=True)
+    kinds = rows.groupBy("growth_q", "transition").agg(F.count("*").alias("n"))
+    total = kinds.groupBy("growth_q").agg(F.lit("all").alias("transition"), F.sum("n").alias("n"))
+    both = kinds.unionByName(total)
+    levels = ["all", *TRANSITIONS]
+    wide_table = spread(both, ["growth_q"], "transition", levels, ["n"], lambda _, level: level)
+    return numbered(wide_table.fillna(0))
+
+
+@query
+def scenario_ordered(spark, sf):
+    """Scenario categories on the columns of a pivot, by label, and down its rows, by code."""
+    rows = block.change_rows(materialize(wide(spark, sf, "part"), "wide"), SPEC, ordered=True)
+    table = rows.groupBy("scenario").agg(F.count("*").alias("n"), F.avg("change").alias("mean_change"))
+    counts = count_table(rows, ["transition"], "scenario", SCENARIO_ORDER)
+    top = counts.agg(*[F.max(s).alias(s) for s in SCENARIO_ORDER])
+    most = top.unpivot([], list(SCENARIO_ORDER), "scenario", "most_common")
+    most = categories.categorise(most, "scenario", SCENARIO_ORDER)
+    return report(numbered(table.join(most, "scenario")))
+
+
 # Chart data and geometry -----------------------------------------------------------------------
 
 
@@ -755,6 +894,13 @@ def histogram_log(spark, sf):
     return report(chartdata.histogram(rows, "v"))
 
 
+@query
+def histogram_log_density(spark, sf):
+    """Log of a density that is 0 for many units: those are not finite and left out."""
+    rows = fx.unit_panel(spark, sf, "part").select(F.ln("hu_density").alias("v"))
+    return report(chartdata.histogram(rows, "v"))
+
+
 @query
 def histogram_even(spark, sf):
     rows = fx.unit_panel(spark, sf, "part").select("pop_density")
@@ -775,6 +921,28 @@ def smooth_lm_band(spark, sf):
     return report(chartdata.smooth_band(line).select("scenario", "point", "x", "lo", "hi"))
 
 
+@query
+def smooth_facets(spark, sf):
+    """A line with its band in every scenario and tercile, change by growth."""
+    rows = tercile_rows(spark, sf).filter(F.col("tercile").isNotNull())
+    line = chartdata.smooth_line(rows, "change", "delta_hu", ["scenario", "tercile"], 20, 0.95)
+    return report(line.drop("df"))
+
+
+@query
+def boxplot_by_second_tercile(spark, sf):
+    rows = tract.with_tercile(
+        tract_rows(spark, sf), "pct_b9_10_2000", "9-10", "tercile", SPEC.label_digits
+    )
+    known = rows.filter(F.col("tercile").isNotNull())
+    return report(chartdata.boxplot_stats(known, "change", ["scenario", "tercile"]))
+
+
+@query
+def boxplot_baseline(spark, sf):
+    return report(chartdata.boxplot_stats(changes(spark, sf, "part"), "y_1996", ["scenario"]))
+
+
 @query
 def boxplot_stats(spark, sf):
     return report(chartdata.boxplot_stats(changes(spark, sf, "part"), "change", ["scenario"]))

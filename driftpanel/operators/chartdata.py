@@ -15,6 +15,7 @@ from driftpanel.operators.bins import exact_quantiles
 from driftpanel.operators.joins import attach
 from driftpanel.operators.ols import line_from_moments
 from driftpanel.operators.reshape import gather
+from driftpanel.session import settled
 
 _NOT_FINITE = [float("inf"), float("-inf"), float("nan")]
 
@@ -81,13 +82,25 @@ def histogram(
 
 
 def smooth_line(
-    df: DataFrame, y: str, x: str, by: Sequence[str] = (), points: int = 80
+    df: DataFrame,
+    y: str,
+    x: str,
+    by: Sequence[str] = (),
+    points: int = 80,
+    confidence: float | None = None,
 ) -> DataFrame:
-    """Fitted line and its standard error on an even grid of x per group."""
+    """Fitted line and its standard error on an even grid of x per group.
+
+    ``confidence`` adds the band ``lo`` to ``hi``; its width is found once per line, before the
+    line becomes a grid.
+    """
     stats = df.filter(F.col(y).isNotNull()).groupBy(*by).agg(
         *pair_moments(y, x), F.min(x).alias("_low"), F.max(x).alias("_high")
     )
     fit = line_from_moments(stats)
+    band = confidence is not None
+    if band:
+        fit = fit.withColumn("_t", t_half_width(F.lit(confidence), F.col("df").cast("double")))
     step = (F.col("_high") - F.col("_low")) / F.lit(points - 1)
     grid = fit.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("x", F.col("_low") + F.col("point") * step)
@@ -96,22 +109,25 @@ def smooth_line(
     lever = F.sqrt(
         F.try_divide(F.lit(1.0), F.col("n").cast("double")) + F.try_divide(off * off, F.col("sxx"))
     )
-    return grid.withColumns(
+    grid = grid.withColumns(
         {"fit": F.col("intercept") + F.col("slope") * F.col("x"), "se": noise * lever}
-    ).select(*by, "point", "x", "fit", "se", "df")
+    )
+    if band:
+        half = F.col("_t") * F.col("se")
+        grid = grid.withColumns({"lo": F.col("fit") - half, "hi": F.col("fit") + half})
+    return grid.select(*by, "point", "x", "fit", "se", "df", *(["lo", "hi"] if band else []))
 
 
 def smooth_band(smooth: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Confidence band of a smoothed line."""
+    """Confidence band of a smoothed line that was made without one."""
     half = t_half_width(F.lit(confidence), F.col("df").cast("double")) * F.col("se")
     return smooth.withColumns({"lo": F.col("fit") - half, "hi": F.col("fit") + half})
 
 
 def boxplot_stats(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     """Box, whisker ends (furthest values within 1.5 box lengths) and outlier count per group."""
-    quartiles = exact_quantiles(df, y, [0.25, 0.5, 0.75], by).select(
-        *by, F.col("quantiles").alias("_q")
-    )
+    quartiles = exact_quantiles(df, y, [0.25, 0.5, 0.75], by)
+    quartiles = settled(quartiles.select(*by, F.col("quantiles").alias("_q")))
     rows = attach(df.select(*by, y).filter(F.col(y).isNotNull()), quartiles, by, "inner")
     low, middle, high = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     reach = (high - low) * 1.5

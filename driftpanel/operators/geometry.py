@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # US survey foot in metres, square metres per hectare.
 US_SURVEY_FOOT = 1200 / 3937
 M2_PER_HA = 10_000.0
 
+#: Consecutive positions of a ring that one task sums up.
+STRETCH = 8192
+
 
 def signed_ring_area(ring: Column) -> Column:
     """Shoelace sum over an array of (x, y) structs; the closing edge is implied.
@@ -45,37 +48,45 @@ def polygon_area_from_vertices(
 ) -> DataFrame:
     """Area per unit from a vertex table, holes and parts by ring orientation.
 
-    Positions in a ring are consecutive. Each vertex meets its successor by an equi-join on
-    (unit, ring, position), so even a ring with very many vertices is spread over all tasks; the
-    sums, and the closing edge from last to first vertex, combine map-side. A gap in the
-    positions is an error.
+    Positions in a ring are consecutive; a gap is an error. Vertices move once, to stretches of
+    ``STRETCH`` positions: a stretch becomes one record of its partial sum, its ends and its gaps,
+    and the records of a ring are joined end to end in order. So a ring with very many vertices
+    is spread over all tasks, and only its records meet.
     """
     keys = [*ids, ring]
-    after = vertices.select(
-        *keys, (F.col(seq) - 1).alias(seq), F.col("x").alias("_x"), F.col("y").alias("_y")
+    within = Window.partitionBy(*keys, "_stretch").orderBy(seq)
+    here = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = vertices.select(
+        *keys, seq, here.alias("_at"), F.floor(F.col(seq) / F.lit(STRETCH)).alias("_stretch")
+    ).withColumns({"_to": F.lead("_at").over(within), "_next": F.lead(seq).over(within)})
+
+    def strip(a: Column, b: Column) -> Column:
+        return (b["x"] - a["x"]) * (a["y"] + b["y"]) / 2
+
+    def breaks(after: Column, before: Column) -> Column:
+        return F.coalesce((after != before + 1).cast("int"), F.lit(0))
+
+    stretches = rows.groupBy(*keys, "_stretch").agg(
+        F.sum(strip(F.col("_at"), F.col("_to"))).alias("_open"),
+        F.sum(breaks(F.col("_next"), F.col(seq))).alias("_gaps"),
+        F.min(seq).alias("_first"),
+        F.max(seq).alias("_last"),
+        F.min_by("_at", seq).alias("_head"),
+        F.max_by("_at", seq).alias("_tail"),
     )
-    edges = vertices.join(after, [*keys, seq], "left")
-
-    def strip(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-        return (x1 - x0) * (y0 + y1) / 2
-
-    step = strip(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
-    rings = edges.groupBy(*keys).agg(
-        F.sum(step).alias("_open"),
-        F.count("*").alias("_vertices"),
-        F.count("_x").alias("_edges"),
-        *[
-            pick(c, seq).alias(f"_{name}_{c}")
-            for name, pick in (("first", F.min_by), ("last", F.max_by))
-            for c in ("x", "y")
-        ],
+    along = Window.partitionBy(*keys).orderBy("_stretch")
+    stretches = stretches.withColumns(
+        {"_bridge": strip(F.col("_tail"), F.lead("_head").over(along)), "_resume": F.lead("_first").over(along)}
     )
-    closing = strip(
-        F.col("_last_x"), F.col("_last_y"), F.col("_first_x"), F.col("_first_y")
+    rings = stretches.groupBy(*keys).agg(
+        F.sum(F.coalesce("_open", F.lit(0.0)) + F.coalesce("_bridge", F.lit(0.0))).alias("_open"),
+        F.sum(F.col("_gaps") + breaks(F.col("_resume"), F.col("_last"))).alias("_gaps"),
+        F.min_by("_head", "_stretch").alias("_head"),
+        F.max_by("_tail", "_stretch").alias("_tail"),
     )
     gap = F.raise_error(F.concat_ws(" ", F.lit("vertex positions have gaps in ring"), *keys))
-    signed = F.when(F.col("_edges") != F.col("_vertices") - 1, gap).otherwise(
-        F.coalesce("_open", F.lit(0.0)) + closing
+    signed = F.when(F.col("_gaps") > 0, gap).otherwise(
+        F.col("_open") + strip(F.col("_tail"), F.col("_head"))
     )
     area = F.abs(F.sum(signed)) * F.lit(unit_in_m * unit_in_m)
     return rings.groupBy(*ids).agg(area.alias("area_m2")).withColumn(

@@ -5,32 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftpanel.functions.scalars import quoted
-from driftpanel.session import materialize
+from driftpanel.session import is_settled, materialize, settled
 
-# Largest per-group table (coefficients, breaks, scenarios) that may be broadcast.
+# Records of a per-group table (coefficients, breaks) beyond which the row side is salted.
 SMALL_ROWS = 10_000
+# Pairs of rows without a key that a full join makes at most.
+PAIRS = 1_000_000
+# Levels of one factor that a grid takes from the data at most.
+LEVELS = 10_000
 _SALTS = 32
 
 
-def gather_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
-    """``df`` as a local table if it has at most ``limit`` rows, else None.
-
-    Fetches at most ``limit + 1`` rows, so the check itself is bounded.
-    """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
-    return df.sparkSession.createDataFrame(table, df.schema)
-
-
-def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Compute a per-group table once: local when small, otherwise a written table."""
-    local = gather_small(df, limit)
-    return local if local is not None else materialize(df, "groups")
+def settle(df: DataFrame, name: str = "groups") -> DataFrame:
+    """Compute a per-group table once, as a written table."""
+    return settled(materialize(df, name))
 
 
 def attach(
@@ -42,26 +35,31 @@ def attach(
 ) -> DataFrame:
     """Join rows to one record per group.
 
-    The group table is counted first. Within ``limit`` it is broadcast, so rows are not shuffled
-    and a group holding most rows costs nothing extra. Beyond it the join is shuffled with the
-    row side salted, so no group lands in one task. Without keys ``per_group`` is one record and
-    becomes literals.
+    A group table that is not ``settled`` is written first, and counted on the way. Its files then
+    tell Spark whether to broadcast it: rows are not shuffled and a group holding most of them
+    costs nothing extra. Beyond ``limit`` records the join is shuffled with the row side salted,
+    so no group lands in one task. Without keys ``per_group`` is one record, read as a scalar
+    subquery.
     """
     on = list(on)
     if not on:
-        record = per_group.first()
-        return rows.withColumns(
-            {f.name: F.lit(record[f.name]).cast(f.dataType) for f in per_group.schema.fields}
-        )
-    local = gather_small(per_group, limit)
-    if local is not None:
-        joined = join_groups(rows, F.broadcast(local), on, how)
-    else:
-        joined = salted_join(rows, per_group, on, how)
+        return beside(rows, per_group)
+    large = False
+    if not is_settled(per_group):
+        size = Observation()
+        per_group = settle(per_group.observe(size, F.count(F.lit(1)).alias("n")))
+        large = size.get["n"] > limit
+    joined = (salted_join if large else join_groups)(rows, per_group, on, how)
     added = [c for c in per_group.columns if c not in on]
     return joined.select(*rows.columns, *added)
 
 
+def beside(rows: DataFrame, record: DataFrame) -> DataFrame:
+    """Every row with the columns of a table of one record, read as a scalar subquery."""
+    whole = record.select(F.struct(*record.columns).alias("_record")).scalar()
+    return rows.withColumn("_record", whole).select(*rows.columns, *[f"_record.{c}" for c in record.columns])
+
+
 def join_groups(
     rows: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
@@ -96,14 +94,29 @@ def scenario_table(
     return spark.createDataFrame(pa.table(columns))
 
 
-def keep_matching(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left semi join to a key table, broadcast when it proves small.
+def grid_of(df: DataFrame, factors: Sequence[str], most: int = LEVELS) -> DataFrame:
+    """Every combination of the factors' levels in the data, sorted; NULL is no level.
 
-    A larger one is joined by shuffle, with AQE splitting hot keys.
+    One aggregate finds the levels of all factors. More than ``most`` levels of one are an error,
+    raised before they would be gathered.
     """
-    local = gather_small(table.select(*keys).distinct())
-    kept = df.join(F.broadcast(local) if local is not None else table, list(keys), "left_semi")
-    return kept.select(*df.columns)
+    level = [F.struct(F.lit(f).alias("factor"), F.to_json(F.struct(F.col(f).alias("v"))).alias("level")) for f in factors]
+    seen = df.select(F.explode(F.array(*level)).alias("_s")).select("_s.*").distinct().where("level <> '{}'")
+    place = F.row_number().over(Window.partitionBy("factor").orderBy("level"))
+    text = F.concat(F.lit(f"more than {most} levels of "), F.col("factor"))
+    seen = seen.withColumn("level", F.when(place > most, F.raise_error(text)).otherwise(F.col("level")))
+    sets = [F.collect_list(F.when(F.col("factor") == f, F.col("level"))).alias(f) for f in factors]
+    grid = seen.agg(*sets)
+    for f in factors:
+        kind = df.schema[f].dataType
+        grid = grid.withColumn(f, F.explode(f))
+        grid = grid.withColumn(f, F.from_json(f, T.StructType([T.StructField("v", kind)]))["v"])
+    return grid.orderBy(*factors)
+
+
+def keep_matching(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left semi join to a key table; its size statistics and AQE choose how."""
+    return df.join(table, list(keys), "left_semi").select(*df.columns)
 
 
 def keep_scenarios(
@@ -122,29 +135,49 @@ def left_join(rows: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataF
     return rows.join(dimension, list(on), "left")
 
 
-def full_join(left: DataFrame, right: DataFrame, on: str, null_keys: str = "keep") -> DataFrame:
+def full_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    null_keys: str = "match",
+    most_pairs: int = PAIRS,
+) -> DataFrame:
     """Full outer join with one coalesced key column.
 
-    ``null_keys="keep"`` keeps rows without a key, unmatched, and spreads them over all tasks.
-    ``"match"`` pairs every left one with every right one, which is only sensible when they are
-    few. ``"drop"`` removes them.
+    Rows without a key, by ``null_keys``:
+
+    * ``"match"``: each left one meets each right one, as if NULL were a key like any other. Both sides
+      are counted first, and more than ``most_pairs`` pairs are an error, so the one task where they
+      meet is bounded. Where only one side has such rows they are spread over all tasks;
+    * ``"keep"``: kept unmatched, spread over all tasks, without the counts;
+    * ``"drop"``: removed.
     """
+    if null_keys not in ("match", "keep", "drop"):
+        raise ValueError("null_keys must be 'match', 'keep' or 'drop'")
+    missing = F.col(on).isNull()
     if null_keys == "drop":
-        return left.filter(F.col(on).isNotNull()).join(
-            right.filter(F.col(on).isNotNull()), on, "full"
-        )
-    if null_keys == "match":
-        other = right.withColumnRenamed(on, "_right_key")
-        joined = left.join(other, F.col(on).eqNullSafe(F.col("_right_key")), "full")
-        return joined.withColumn(on, F.coalesce(on, "_right_key")).drop("_right_key")
-    if null_keys != "keep":
-        raise ValueError("null_keys must be 'keep', 'match' or 'drop'")
-
-    def spread_nulls(df: DataFrame) -> DataFrame:
-        slot = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")
-        return df.withColumn("_slot", F.when(F.col(on).isNull(), slot).otherwise(0))
-
-    return spread_nulls(left).join(spread_nulls(right), [on, "_slot"], "full").drop("_slot")
+        return left.filter(~missing).join(right.filter(~missing), on, "full")
+
+    def slotted(df: DataFrame, spread: Column) -> DataFrame:
+        slot = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
+        return df.withColumn("_slot", F.when(missing & spread, slot).otherwise(F.lit(0).cast("long")))
+
+    if null_keys == "keep":
+        spread = F.lit(True)
+        return slotted(left, spread).join(slotted(right, spread), [on, "_slot"], "full").drop("_slot")
+    on_left, on_right = (
+        df.filter(missing).agg(F.count(F.lit(1)).alias("n")).scalar() for df in (left, right)
+    )
+    pairs = on_left * on_right
+    text = F.concat(
+        F.lit(f"rows without {on} would make "), pairs.cast("string"), F.lit(f" pairs, over {most_pairs}")
+    )
+    bounded = F.when(pairs > F.lit(most_pairs), F.raise_error(text)).otherwise(on_right == 0)
+    a = slotted(left, bounded)
+    b = slotted(right, on_left == 0).withColumnsRenamed({on: "_right_key", "_slot": "_right_slot"})
+    same = F.col(on).eqNullSafe(F.col("_right_key")) & (F.col("_slot") == F.col("_right_slot"))
+    joined = a.join(b, same, "full").withColumn(on, F.coalesce(on, "_right_key"))
+    return joined.drop("_right_key", "_slot", "_right_slot")
 
 
 def all_present(columns: Sequence[str]) -> Column:

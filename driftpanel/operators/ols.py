@@ -7,7 +7,7 @@ small table.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from driftpanel.functions.moments import pair_moments
 from driftpanel.functions.tails import t_two_sided
+from driftpanel.operators.joins import join_groups
+
+# Levels of the larger factor that are eliminated at once.
+_LEVELS = 512
 
 
 def moments(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -138,12 +142,7 @@ def model_selection(cells: DataFrame, first: str, second: str) -> DataFrame:
     whole = combine(cells)
     by_first = combine(combine(cells, [first]))
     by_second = combine(combine(cells, [second]))
-    factors = [F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b")]
-    additive = (
-        cells.select(*factors, "n", "xbar", "ybar", "sxx", "sxy", "syy")
-        .groupBy()
-        .applyInPandas(_additive_rss, "n long, terms long, syy double, rss double")
-    )
+    additive = additive_fit(cells, first, second)
     levels = F.col("levels")
     table = entry(whole, 1, "pooled", F.lit(2), _rss_of_line())
     for part in (
@@ -166,31 +165,102 @@ def model_selection(cells: DataFrame, first: str, second: str) -> DataFrame:
     ).select("position", "model", "k", "n", "r2", "aic", "bic", "delta_aic", "delta_bic")
 
 
-def _additive_rss(cells: pd.DataFrame) -> pd.DataFrame:
-    """RSS of y ~ x + a + b from cell moments: normal equations on centred sums."""
-    n, x, y = (cells[c].to_numpy(float) for c in ("n", "xbar", "ybar"))
-    x = x - np.average(x, weights=n)
-    y = y - np.average(y, weights=n)
-    dummies = [np.ones(len(cells))]
-    for factor in ("a", "b"):
-        dummies += [
-            (cells[factor] == v).to_numpy(float) for v in sorted(cells[factor].unique())[1:]
-        ]
-    design = np.column_stack([*dummies, x])
-    gram = design.T @ (design * n[:, None])
-    gram[-1, -1] += cells["sxx"].sum()
-    right = design.T @ (n * y)
-    right[-1] += cells["sxy"].sum()
-    total = cells["syy"].sum() + (n * y * y).sum()
-    beta, *_ = np.linalg.lstsq(gram, right, rcond=None)
-    return pd.DataFrame(
-        {
-            "n": [int(n.sum())],
-            "terms": [design.shape[1]],
-            "syy": [float(total)],
-            "rss": [float(total - right @ beta)],
-        }
-    )
+def additive_fit(cells: DataFrame, first: str, second: str) -> DataFrame:
+    """n, terms, syy and rss of the model with x and both factors, from moments per (first, second)."""
+    names = {"a": first, "b": second}
+    cells = cells.where("n > 0")
+    level = {a: F.to_json(F.struct(F.col(c).alias("v"))) for a, c in names.items()}
+    sizes = cells.agg(*[F.count_distinct(c).alias(a) for a, c in level.items()]).first()
+    task, outer = _additive(sizes["a"], sizes["b"])
+    inner = "b" if outer == "a" else "a"
+    columns = ["n", "xbar", "ybar", "sxx", "sxy", "syy"]
+    coded = cells.select(level[outer].alias(outer), level[inner].alias("_level"), *columns)
+    levels = coded.select("_level").distinct()
+    levels = levels.withColumn(inner, F.row_number().over(Window.orderBy("_level")) - 1)
+    coded = join_groups(coded, levels, ["_level"], "inner").select(outer, inner, *columns)
+    ordered = coded.coalesce(1).sortWithinPartitions(outer)
+    return ordered.mapInPandas(task, "n long, terms long, syy double, rss double")
+
+
+def _additive(first: int, second: int):
+    """RSS of y ~ x + a + b from cell moments in the order of the larger factor.
+
+    The normal equations are sparse: a level of one factor meets only the levels of the other that
+    share a cell. The larger factor is eliminated level by level, as its cells arrive, which leaves
+    centred cross-moments of x, y and the smaller factor's levels; nothing else is held, and
+    cells of the same level may come in any number of batches.
+    """
+    k = min(first, second)
+    inner, outer = ("a", "b") if first == k else ("b", "a")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Cross-moments within levels of the larger factor: smaller factor's k levels, x and y.
+        gram = np.zeros((k + 2, k + 2))
+        waiting: list[pd.DataFrame] = []
+        total = np.zeros(4)  # n, sum of y, of y squared about 0 by cell means, within cells
+        shift, levels = None, 0
+
+        def eliminate(cells: pd.DataFrame) -> None:
+            nonlocal levels
+            codes, _ = pd.factorize(cells[outer])
+            count = codes.max() + 1
+            levels += count
+            n = cells["n"].to_numpy(float)
+            j = cells[inner].to_numpy()
+            x, y = (cells[c].to_numpy(float) - shift[i] for i, c in enumerate(("xbar", "ybar")))
+            size = np.bincount(codes, n, count)
+            for at in range(0, count, _LEVELS):
+                here = (codes >= at) & (codes < at + _LEVELS)
+                rows = codes[here] - at
+                wide = np.zeros((min(_LEVELS, count - at), k + 2))
+                np.add.at(wide, (rows, j[here]), n[here])
+                np.add.at(wide, (rows, k), (n * x)[here])
+                np.add.at(wide, (rows, k + 1), (n * y)[here])
+                gram[:, :] -= wide.T @ (wide / size[at : at + len(wide), None])
+            np.add.at(gram, (j, j), n)
+            for c, values in ((k, x), (k + 1, y)):
+                np.add.at(gram, (j, c), n * values)
+                np.add.at(gram, (c, j), n * values)
+            gram[k, k] += (n * x * x).sum() + cells["sxx"].sum()
+            gram[k, k + 1] += (n * x * y).sum() + cells["sxy"].sum()
+            gram[k + 1, k] = gram[k, k + 1]
+            gram[k + 1, k + 1] += (n * y * y).sum() + cells["syy"].sum()
+            total[:] += [n.sum(), (n * y).sum(), (n * y * y).sum(), cells["syy"].sum()]
+
+        for batch in batches:
+            if shift is None and len(batch):
+                shift = [float(np.average(batch[c], weights=batch["n"])) for c in ("xbar", "ybar")]
+            if len(batch):
+                waiting.append(batch)
+                held = pd.concat(waiting, ignore_index=True)
+                open_ = held[outer] == held[outer].iloc[-1]
+                if not open_.all():
+                    eliminate(held[~open_])
+                    waiting = [held[open_]]
+                else:
+                    waiting = [held]
+        if not waiting:
+            return
+        eliminate(waiting[0])
+        # One level of the smaller factor follows from the others within every level of the larger.
+        left, right = gram[1 : k + 1, 1 : k + 1], gram[1 : k + 1, k + 1]
+        try:
+            beta = np.linalg.solve(left, right)
+            if not np.allclose(left @ beta, right, rtol=1e-9, atol=1e-9 * max(1.0, np.abs(right).max())):
+                raise np.linalg.LinAlgError
+        except np.linalg.LinAlgError:
+            beta, *_ = np.linalg.lstsq(left, right, rcond=None)
+        count, mean = total[0], total[1] / total[0]
+        yield pd.DataFrame(
+            {
+                "n": [int(round(count))],
+                "terms": [levels + k],
+                "syy": [float(total[2] - count * mean * mean + total[3])],
+                "rss": [float(gram[k + 1, k + 1] - right @ beta)],
+            }
+        )
+
+    return task, outer
 
 
 def slope_interval(fit: DataFrame, z: float = 1.96) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpanel.functions.categories import categories_of, label_of
 from driftpanel.functions.scalars import quoted
 from driftpanel.operators.joins import all_present
 
@@ -28,8 +29,8 @@ def spread(
     aggregate needs one shuffle. Two rows for one cell are an error, raised by the plan itself, and
     so is a row of a level that is not listed, NULL included, unless ``other`` is "drop".
     """
+    kept = df.select(*ids, label_of(df, names_from).alias(names_from), *values)
     listed = F.col(names_from).isin(list(levels))
-    kept = df.select(*ids, names_from, *values)
     if other == "drop":
         kept = kept.filter(listed)
     else:
@@ -37,7 +38,8 @@ def spread(
         unlisted = F.raise_error(F.concat(F.lit(f"{names_from} has a level that is not listed: "), level))
         checked = F.when(listed, F.col(names_from)).otherwise(unlisted)
         kept = kept.withColumn(names_from, checked)
-    key_text = ", ".join(quoted(i) for i in ids)
+    ordered = categories_of(df)
+    key_text = ", ".join(quoted(i) + (".label" if i in ordered else "") for i in ids)
     cells = []
     for level in levels:
         text = str(level).replace("'", "''")
@@ -60,6 +62,7 @@ def count_table(
 ) -> DataFrame:
     """Contingency table: count per id and level, 0 where none. NULL is no level and not counted; a
     level that is not listed is an error."""
+    df = df.withColumn(names_from, label_of(df, names_from))
     unlisted = F.raise_error(
         F.concat(F.lit(f"{names_from} has a level that is not listed: "), F.col(names_from).cast("string"))
     )

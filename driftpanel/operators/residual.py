@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftpanel.functions import scalars
+from driftpanel.functions.categories import category
 from driftpanel.operators.joins import attach
 from driftpanel.operators.ols import ols_by_stratum
 
@@ -66,8 +67,15 @@ def interpret(
 
 
 def label_scenarios(
-    rows: DataFrame, levels: Sequence[str], season: str = "season", buffer: str = "buffer"
+    rows: DataFrame,
+    levels: Sequence[str],
+    season: str = "season",
+    buffer: str = "buffer",
+    ordered: bool = False,
 ) -> DataFrame:
-    """Add the scenario name and its place in the fixed order."""
-    rows = rows.withColumn("scenario", scalars.scenario_name(F.col(season), F.col(buffer)))
+    """Add the scenario name and its place in the fixed order, or, ``ordered``, both as a category."""
+    name = scalars.scenario_name(F.col(season), F.col(buffer))
+    if ordered:
+        return rows.withColumn("scenario", category(name, levels, "scenario"))
+    rows = rows.withColumn("scenario", name)
     return rows.withColumn("scenario_order", scalars.ordinal(F.col("scenario"), levels))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICES = 64
+#: Rows that a task gathers before it cuts its groups again.
+_WAITING = 50_000
 
 
 def group_sample(
@@ -16,23 +21,50 @@ def group_sample(
     """``min(k, n)`` rows of each group, without replacement.
 
     Rows are drawn in the order of a seeded hash of their id, so reruns, retries and other
-    partitionings draw the same rows. Up to the size where Spark limits a ranked window before
-    its shuffle, every map task sends ``k`` rows per group. For a larger ``k`` a first cut inside
-    hashed slices of each group leaves ``k`` rows per slice. Neither sorts a whole group in one task.
+    partitionings draw the same rows. One plan for every ``k``: each task keeps the first ``k``
+    rows of its groups and sends no others; hashed slices of each group merge them to ``k`` again,
+    and the slices of a group meet last. So no task sorts a group, or all tasks' rows of one.
     """
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])
-    order = [F.col("_draw"), *[F.col(i) for i in ids]]
-
-    def first_k(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
-
-    drawn = df.withColumn("_draw", F.md5(key))
-    limit = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    if k > int(limit):
-        sliced = drawn.withColumn("_slice", F.pmod(F.xxhash64(*ids), F.lit(_SLICES)))
-        drawn = first_k(sliced, [*by, "_slice"]).drop("_slice")
-    return first_k(drawn, by).drop("_draw")
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    drawn = df.withColumns({"_draw": F.md5(key), "_group": group})
+    first = _first_of_groups(k, ["_draw", *ids])
+    drawn = drawn.mapInArrow(first, drawn.schema)
+    drawn = drawn.withColumn("_slice", F.pmod(F.xxhash64(*ids), F.lit(_SLICES)))
+    drawn = drawn.repartition("_group", "_slice").mapInArrow(first, drawn.schema)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", *ids))
+    return drawn.withColumn("_place", place).filter(F.col("_place") <= k).select(*df.columns)
+
+
+def _first_of_groups(k: int, order: Sequence[str]):
+    """A task's first ``k`` rows of each ``_group``, in the given order."""
+
+    def cut(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts)
+        keys = table.select(["_group", *order])
+        table = table.take(pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names]))
+        group = table["_group"].combine_chunks()
+        starts = np.ones(len(group), bool)
+        if len(group) > 1:
+            starts[1:] = pc.not_equal(group[1:], group[:-1]).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(starts)
+        place = np.arange(len(group)) - np.repeat(at, np.diff([*at, len(group)]))
+        return table.filter(pa.array(place < k))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        kept = waiting = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            waiting += batch.num_rows
+            # Cutting again only after as many rows as are kept costs each row a few sorts.
+            if waiting >= max(_WAITING, kept):
+                held = [cut(held)]
+                kept, waiting = len(held[0]), 0
+        if held:
+            yield from cut(held).to_batches(max_chunksize=10_000)
+
+    return task
 
 
 def moved_enough(

@@ -53,11 +53,12 @@ def wide_panel(
     return panel.panel_deltas(wide, {"delta_log_x": spec.log_x, "delta_y": spec.y}, spec.periods)
 
 
-def change_rows(wide: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Pseudo-residual change with states, transition, direction and scenario name."""
+def change_rows(wide: DataFrame, spec: PanelSpec, ordered: bool = False) -> DataFrame:
+    """Pseudo-residual change with states, transition, direction and scenario name, which is a
+    category if ``ordered``."""
     rows = residual.pseudo_residual(wide, spec.y, spec.log_x, spec.periods, spec.strata)
     rows = residual.classify(rows, spec.periods, spec.label_digits)
-    return residual.label_scenarios(rows, SCENARIO_ORDER, spec.season, spec.buffer)
+    return residual.label_scenarios(rows, SCENARIO_ORDER, spec.season, spec.buffer, ordered)
 
 
 def analysed(
@@ -72,14 +73,14 @@ def analysed(
 def change_summary(rows: DataFrame, by: Sequence[str], digits: int | None = None) -> DataFrame:
     """n, mean, sd, median and direction shares of change."""
     change = F.col("change") if digits is None else F.round("change", digits)
-    table = rows.groupBy(*by).agg(
+    aggregates = [
         F.count("*").alias("n"),
         F.avg("change").alias("mean_change"),
         F.stddev_samp("change").alias("sd_change"),
         percent_true(change > 0).alias("pct_brightened"),
         percent_true(change < 0).alias("pct_dimmed"),
-    )
-    return bins.with_median(table, rows, "change", by, "median_change")
+    ]
+    return bins.summarise(rows, by, aggregates, {"median_change": ("change", 0.5)})
 
 
 def transition_table(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def two_year_counts(
     bands: Sequence[str] | str,
     sep: str = "_",
     key: str = "tract20l",
-    null_keys: str = "keep",
+    null_keys: str = "match",
 ) -> DataFrame:
     """One wide row per unit from two yearly count tables.
 
@@ -58,16 +58,24 @@ def two_year_counts(
     return full_join(*sides, on=key, null_keys=null_keys)
 
 
-def age_shares(age: DataFrame, periods: Sequence[int], unit: str = "tract") -> DataFrame:
+def age_shares(
+    age: DataFrame,
+    periods: Sequence[int],
+    unit: str = "tract",
+    groups: compose.Groups = compose.AGE_GROUPS,
+) -> DataFrame:
     """Share of each age group, one row per unit and year."""
-    return compose.shares_long(age, "tract20l", compose.AGE_GROUPS, periods, unit=unit)
+    return compose.shares_long(age, "tract20l", groups, periods, unit=unit)
 
 
-def race_shares(race: DataFrame, periods: Sequence[int], unit: str = "tract") -> DataFrame:
+def race_shares(
+    race: DataFrame,
+    periods: Sequence[int],
+    unit: str = "tract",
+    groups: compose.Groups = compose.RACE_GROUPS,
+) -> DataFrame:
     """Share of each race, one row per unit and year."""
-    return compose.shares_long(
-        race, "tract20l", compose.RACE_GROUPS, periods, compose.joined, unit
-    )
+    return compose.shares_long(race, "tract20l", groups, periods, compose.joined, unit)
 
 
 def level_checks(panel: DataFrame, spec: PanelSpec) -> DataFrame:

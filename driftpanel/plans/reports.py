@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpanel.operators import assoc, chartdata, compose, infer, ols, residual, sample
@@ -17,7 +17,7 @@ from driftpanel.plans.spec import (
     SEASONS,
     PanelSpec,
 )
-from driftpanel.session import materialize
+from driftpanel.session import commit, materialize, scope
 from driftpanel.sources.tables import write_csv
 
 Tables = dict[str, DataFrame]
@@ -36,7 +36,7 @@ def _chart_data(rows: DataFrame, spec: PanelSpec, sample_size: int, dy: float, d
     moved = sample.moved_enough(rows, "delta_y", "delta_log_x", dy, dx)
 
     def line(y: str, x: str) -> DataFrame:
-        return chartdata.smooth_band(chartdata.smooth_line(rows, y, x, ["scenario"]))
+        return chartdata.smooth_line(rows, y, x, ["scenario"], confidence=0.95)
 
     return {
         "line_baseline": line(spec.y_base, spec.x_base),
@@ -161,6 +161,20 @@ def tract_tables(
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """One CSV folder per table."""
-    for name, table in tables.items():
-        write_csv(table, f"{folder}/{name}")
+    """One CSV folder per table, published together (see ``session.commit``)."""
+    if not tables:
+        return
+
+    def write(staging: str) -> list[str]:
+        for name, table in tables.items():
+            write_csv(table, f"{staging}/{name}")
+        return list(tables)
+
+    commit(next(iter(tables.values())).sparkSession, folder, write)
+
+
+def export(spark: SparkSession, build: Callable[[], Mapping[str, DataFrame]], folder: str) -> None:
+    """Build the tables of an analysis, publish them in ``folder``, and remove all that was written on
+    the way, also after an error."""
+    with scope(spark):
+        write_tables(build(), folder)

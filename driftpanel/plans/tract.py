@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftpanel.functions.moments import correlation
 from driftpanel.functions.scalars import percent_true
 from driftpanel.operators import assoc, bins, compose, panel
-from driftpanel.operators.joins import attach, full_join, left_join
+from driftpanel.operators.joins import full_join, left_join
 from driftpanel.plans import block
 from driftpanel.plans.spec import GROWTH_LABELS, SEASONS, TRACT_SCENARIOS, PanelSpec, tercile_labels
 from driftpanel.session import materialize
@@ -82,7 +82,7 @@ def one_per_unit(rows: DataFrame, spec: PanelSpec) -> DataFrame:
 def growth_summary(units: DataFrame, spec: PanelSpec) -> DataFrame:
     """Totals, shares and quartiles of growth over all units, one record."""
     base, target = spec.periods
-    table = units.agg(
+    aggregates = [
         F.count("*").alias("n_units"),
         F.sum(f"hu_{base}").alias(f"total_hu_{base}"),
         F.sum(f"hu_{target}").alias(f"total_hu_{target}"),
@@ -93,21 +93,20 @@ def growth_summary(units: DataFrame, spec: PanelSpec) -> DataFrame:
         F.sum(f"pop_{base}").alias(f"total_pop_{base}"),
         F.sum(f"pop_{target}").alias(f"total_pop_{target}"),
         F.sum("delta_pop").alias("total_delta_pop"),
-    )
-    quartiles = bins.exact_quantiles(units, "delta_hu", [0.25, 0.5, 0.75]).select(
-        *[
-            F.col("quantiles")[i].alias(name)
-            for i, name in enumerate(["q25_delta_hu", "median_delta_hu", "q75_delta_hu"])
-        ]
-    )
-    return attach(table, quartiles, [])
+    ]
+    names = ["q25_delta_hu", "median_delta_hu", "q75_delta_hu"]
+    quartiles = {name: ("delta_hu", p) for name, p in zip(names, (0.25, 0.5, 0.75), strict=True)}
+    return bins.summarise(units, [], aggregates, quartiles)
 
 
 def with_growth_quartile(
-    units: DataFrame, labels: Sequence[str] = GROWTH_LABELS, digits: int | None = None
+    units: DataFrame,
+    labels: Sequence[str] = GROWTH_LABELS,
+    digits: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     return bins.quantile_bins(
-        units, "delta_hu", bins.QUARTILES, labels, out="growth_q", digits=digits
+        units, "delta_hu", bins.QUARTILES, labels, out="growth_q", digits=digits, ordered=ordered
     )
 
 
@@ -124,13 +123,13 @@ def composition_by_quartile(
         for p in reversed(spec.periods):
             columns += compose.share_columns(groups, p)
         columns += compose.delta_columns(groups)
-    table = binned.groupBy("growth_q").agg(
+    aggregates = [
         F.count("*").alias("n_units"),
         F.avg("delta_hu").alias("mean_delta_hu"),
         F.avg("delta_pop_age").alias("mean_delta_pop_age"),
         *compose.mean_columns(columns),
-    )
-    return bins.with_median(table, binned, "delta_hu", ["growth_q"], "median_delta_hu")
+    ]
+    return bins.summarise(binned, ["growth_q"], aggregates, {"median_delta_hu": ("delta_hu", 0.5)})
 
 
 def growth_variables(
@@ -176,11 +175,16 @@ def exposure_correlations(
 
 
 def with_tercile(
-    rows: DataFrame, column: str, label: str, out: str, digits: int | None = None
+    rows: DataFrame,
+    column: str,
+    label: str,
+    out: str,
+    digits: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Tercile over all rows pooled, so a unit counts once per season it appears in."""
     return bins.quantile_bins(
-        rows, column, bins.TERCILES, tercile_labels(label), out=out, digits=digits
+        rows, column, bins.TERCILES, tercile_labels(label), out=out, digits=digits, ordered=ordered
     )
 
 
@@ -193,7 +197,7 @@ def change_by_tercile(
     change = (
         F.col("change") if spec.label_digits is None else F.round("change", spec.label_digits)
     )
-    table = known.groupBy(*keys).agg(
+    aggregates = [
         F.count("*").alias("n"),
         F.avg("change").alias("mean_change"),
         F.stddev_samp("change").alias("sd_change"),
@@ -202,8 +206,8 @@ def change_by_tercile(
         F.avg(spec.y_base).alias(f"mean_{spec.y_base}"),
         F.avg(spec.y_target).alias(f"mean_{spec.y_target}"),
         F.avg("delta_y").alias("mean_delta_y"),
-    )
-    return bins.with_median(table, known, "change", keys, "median_change")
+    ]
+    return bins.summarise(known, keys, aggregates, {"median_change": ("change", 0.5)})
 
 
 def transition_share(binned: DataFrame, tercile: str) -> DataFrame:
@@ -245,9 +249,5 @@ def composition_summary(
         for p in spec.periods
         for c in compose.share_columns(groups, p)
     ]
-    table = demo.agg(F.count("*").alias("n_units"), *compose.mean_columns(columns))
-    for tag in ("age", "race"):
-        table = bins.with_median(
-            table, demo, f"delta_chi_{tag}", [], f"median_delta_chi_{tag}"
-        )
-    return table
+    medians = {f"median_delta_chi_{tag}": (f"delta_chi_{tag}", 0.5) for tag in ("age", "race")}
+    return bins.summarise(demo, [], [F.count("*").alias("n_units"), *compose.mean_columns(columns)], medians)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from driftpanel.functions.categories import plain
 from driftpanel.operators.compose import AGE_GROUPS, RACE_GROUPS, joined, underscore
 
 NULL_TEXT = "NA"
@@ -51,8 +52,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV part per task, each with a header."""
-    df.write.mode("overwrite").csv(path, header=True, nullValue=NULL_TEXT)
+    """One CSV part per task, each with a header; categories as labels, in their order."""
+    plain(df).write.mode("overwrite").csv(path, header=True, nullValue=NULL_TEXT)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
