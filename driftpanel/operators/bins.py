@@ -138,7 +138,11 @@ def _parts(rows: DataFrame, by: list[str], columns: list[str], brackets: DataFra
 
 
 def _with_ranks(counted: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds the rank of the first and after the last row of each line; a few thousand lines a window."""
+    """Adds the rank of the first and after the last row of each line; a few thousand lines a window.
+
+    The lines of a group move once, for the ranks of each quantile and for the group's record.
+    """
+    counted = counted.repartition(*by) if by else counted.repartition(1)
     line = Window.partitionBy(*by, "k").orderBy(*order)
     ends = F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, 0))
     counted = counted.withColumns({"end": ends, "next": F.lead("low").over(line)})
