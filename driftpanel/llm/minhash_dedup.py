@@ -221,7 +221,7 @@ def near_duplicates(
     wanted = signed.join(buckets.select("id").distinct(), "id")
     rep = wanted.groupBy("id").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"))
     nodes = wanted.where("bits is not null").dropDuplicates(["id"])
-    nodes = materialize(
+    nodes = near.packed(
         nodes.select(
             "id",
             "bits",
@@ -243,7 +243,7 @@ def near_duplicates(
             )
 
     sets = chosen.select("text").mapInArrow(sets_of, "id long, members binary")
-    sets = materialize(sets.where("id is not null"), "sets")
+    sets = near.packed(sets.where("id is not null"), "sets")
     cut = estimate_cut(percent / 100)
 
     def side(table: DataFrame, name: str, value: str, to: str) -> DataFrame:
@@ -266,6 +266,7 @@ def near_duplicates(
         return confirm(rows.mapInArrow(_across(cut), "a long, b long").distinct())
 
     comps = near.link(buckets, verify, compare)
+    near.release(buckets, nodes, sets)
     classes = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comps, "id", "left").select("id", "low", F.coalesce("comp", "id").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -311,10 +312,11 @@ def keep_one(
     keep = keep.join(
         copies, F.col("keep_id").eqNullSafe(F.col("c_id")) & (F.col("keep_key") == F.col("c_key")), "left"
     ).select("keep_id", "keep_key", F.coalesce("rows", F.lit(1)).alias("keep_rows"))
-    keyed = documents.withColumn("__key", F.xxhash64(text))
-    kept = keyed.join(
-        keep, (F.col("__key") == F.col("keep_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("keep_id"))
+    # All columns of a document travel in one, so none of their names can clash with these.
+    keyed = documents.select(
+        F.struct(*documents.columns).alias("row"), F.xxhash64(text).alias("own_key"), F.col(doc_id).cast("long").alias("own_id")
     )
-    once = kept.where("keep_rows = 1").select(*documents.columns)
-    again = kept.where("keep_rows > 1").dropDuplicates(["keep_id", "keep_key"]).select(*documents.columns)
-    return once.unionByName(again)
+    kept = keyed.join(keep, (F.col("own_key") == F.col("keep_key")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
+    once = kept.where("keep_rows = 1").select("row")
+    again = kept.where("keep_rows > 1").dropDuplicates(["keep_id", "keep_key"]).select("row")
+    return once.union(again).select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

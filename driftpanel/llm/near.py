@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftpanel.session import materialize, scratch_path
+from driftpanel.session import scratch_path
 
 Pairs = Callable[[DataFrame], DataFrame]
 
@@ -38,14 +38,23 @@ def shared_buckets(items: DataFrame) -> DataFrame:
     rows = items.select("id", F.explode("keys").alias("key"))
     often = rows.groupBy("key").agg(F.min(F.hash("id")).alias("lo"), F.max(F.hash("id")).alias("hi"))
     often = often.where("lo < hi").select("key")
-    return materialize(rows.join(often, "key").distinct(), "buckets")
+    return packed(rows.join(often, "key").distinct(), "buckets")
 
 
 def packed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder, more tightly than usual; for tables near the input's size."""
+    """``df`` written to the shared folder, more tightly than usual; for tables near the input's size.
+    ``release`` removes it."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove ``packed`` tables that nothing reads any more."""
+    for table in tables:
+        drop(table.sparkSession, table._path)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -90,21 +99,25 @@ def link(buckets: DataFrame, verify: Pairs, compare: Pairs) -> DataFrame:
     buckets with several components and returns the verified pairs across components.
     The hub of a bucket is the member that shares most buckets with most others.
     """
+    spark = buckets.sparkSession
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     mass = buckets.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("mass"))
     hubs = buckets.join(mass, "id").groupBy("key").agg(
         F.max(F.struct("mass", "id")).getField("id").alias("hub"), F.count(F.lit(1)).alias("n")
     )
-    members = materialize(buckets.join(hubs, "key"), "members")
-    first = materialize(verify(members.where("id <> hub").select(*pair("id", "hub")).distinct()), "links")
+    members, members_at = _written(buckets.join(hubs, "key"), "members")
+    first, first_at = _written(verify(members.where("id <> hub").select(*pair("id", "hub")).distinct()), "links")
     labels = components(first)
+    drop(spark, first_at)
     left = members.where("n > 2").join(labels, "id", "left")
     left = left.select("key", "id", F.coalesce("comp", "id").alias("comp"), "n")
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     left = left.join(mixed.where("lo < hi").select("key"), "key")
     second = compare(left)
     # A star per component stands for all links found so far.
-    return components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b").union(second))
+    joined = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b").union(second))
+    drop(spark, members_at)
+    return joined
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:

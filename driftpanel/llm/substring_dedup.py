@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftpanel.llm import near, words
-from driftpanel.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 5, 2
@@ -187,7 +186,7 @@ def repeated_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str
     banded = parts.select("id", "words").mapInArrow(_banded, "id long, keys array<long>")
     buckets = near.shared_buckets(banded)
     nodes = parts.select("id", "words").join(buckets.select("id").distinct(), "id", "left_semi")
-    nodes = materialize(nodes.dropDuplicates(["id"]), "nodes")
+    nodes = near.packed(nodes.dropDuplicates(["id"]), "nodes")
 
     def side(name: str, to: str) -> DataFrame:
         return nodes.select(F.col("id").alias(name), F.col("words").alias(to))
@@ -202,6 +201,7 @@ def repeated_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str
         return left.mapInArrow(_across, "a long, b long").distinct()
 
     comps = near.link(buckets, verify, compare)
+    near.release(buckets, nodes)
     at = F.struct("doc_id", "first")
     classes = parts.groupBy("id").agg(F.min(at).alias("low"), F.max("doc_id").alias("high"))
     classes = classes.join(comps, "id", "left")

@@ -162,3 +162,13 @@ def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert held.columns == before.columns
         assert held.count() <= source.count()
+
+
+def test_keep_one_with_its_own_names_as_columns(spark):
+    """A documents table whose columns are named as the operator names its own."""
+    names = ["keep_id", "keep_key", "keep_rows", "own_key", "own_id", "row", "__key", "tkey", "component", "rep_id", "rep_key"]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words altogether here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    kept = minhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.keep_id, r.row) for r in kept.collect()) == [(1, "keep_id", "row"), (3, "keep_id", "row")]
