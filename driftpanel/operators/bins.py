@@ -189,7 +189,7 @@ def _ranked(
     hit = _with_ranks(counted, by, ["part", "low"]).where((F.col("start") <= rank) & (rank < F.col("end")))
     a = F.col("low")
     b = F.when((rank + 1 < F.col("end")) | F.col("next").isNull(), a).otherwise(F.col("next"))
-    hit = hit.withColumn("found", F.when(a == b, a).otherwise(a + (F.col("place") - rank) * (b - a)))
+    hit = hit.withColumn("found", F.when((a == b) | (F.col("place") == rank), a).otherwise(a + (F.col("place") - rank) * (b - a)))
     picks = [F.max(F.when(F.col("k") == k, F.col("found"))).alias(f"_found{k}") for k in range(len(columns))]
     misses = Observation()
     found = hit.groupBy(*by).agg(*picks, F.count_if(F.col("part") != 0).alias("_missed"))
