@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftpanel.session import scratch_path
@@ -32,13 +32,12 @@ def pair(a: str, b: str) -> list:
 def shared_buckets(items: DataFrame) -> DataFrame:
     """``(key, id)`` of the buckets with two ids or more; items: ``id``, ``keys`` (may be null).
 
-    Ids are told apart by 32 bits, which halves what moves to find these buckets; two ids that meet
-    in one bucket alone look like one with probability 2e-10.
+    Rows move once, by key, where the least and the greatest id of a bucket tell whether it has several.
     """
     rows = items.select("id", F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.min(F.hash("id")).alias("lo"), F.max(F.hash("id")).alias("hi"))
-    often = often.where("lo < hi").select("key")
-    return packed(rows.join(often, "key").distinct(), "buckets")
+    bucket = Window.partitionBy("key")
+    rows = rows.select("key", "id", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
+    return packed(rows.where("lo < hi").select("key", "id").distinct(), "buckets")
 
 
 def packed(df: DataFrame, name: str) -> DataFrame:
