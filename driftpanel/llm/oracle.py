@@ -98,3 +98,60 @@ FROM positives JOIN scored USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10
 """
+
+_ALNUM = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+_WHITE = r"[^\x20\x09-\x0D]+"
+
+
+def _words(text: str, pattern: str) -> str:
+    lowered = f"translate({text}, '{_LETTERS.upper()}', '{_LETTERS}')"
+    return f"regexp_extract_all(coalesce({lowered}, ''), '{pattern}')"
+
+
+# Windows of ten words, or whole shorter items; a document is read once for each length of window.
+OVERLAPS = f"""
+WITH docs AS (SELECT doc_id, {_words('text', _ALNUM)} AS w FROM documents
+), items AS (SELECT item_id, {_words('text', _ALNUM)} AS w FROM benchmark
+), cut AS (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p
+    FROM items WHERE len(w) > 0
+), windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM cut
+), grams AS (
+    SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM (
+        SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), found AS (SELECT DISTINCT doc_id, p, n, item_id FROM grams JOIN windows USING (n, phrase)
+), hit AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM found)
+    GROUP BY doc_id
+), own AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_words('text', _WHITE)} AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM docs
+    UNION
+    SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""

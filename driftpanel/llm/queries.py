@@ -132,6 +132,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": oracle.OVERLAPS,
+    "op3_minhash_near_dedup": oracle.NEAR_DUPLICATES,
     "op11_spelling_variants": oracle.SPELLING,
     "op12_tiled_vectors": oracle.VECTORS,
     "op13_hard_negatives": oracle.NEGATIVES,
