@@ -47,8 +47,8 @@ def label_of(df: DataFrame, column: str) -> Column:
     return F.col(column)["label"] if column in categories_of(df) else F.col(column)
 
 
-def plain(df: DataFrame, codes: bool = False) -> DataFrame:
-    """Categories as label columns, rows sorted by them in the order of the columns.
+def plain(df: DataFrame, codes: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """Categories as label columns, rows sorted by them in the order of the columns, and by ``then``.
 
     ``codes`` keeps each code too, as ``{column}_code``. Without categories nothing changes.
     """
@@ -60,4 +60,4 @@ def plain(df: DataFrame, codes: bool = False) -> DataFrame:
         columns.append(F.col(c)["label"].alias(c) if c in found else F.col(c))
         if codes and c in found:
             columns.append(F.col(c)["code"].alias(f"{c}_code"))
-    return df.orderBy(*found).select(*columns)
+    return df.orderBy(*found, *then).select(*columns)

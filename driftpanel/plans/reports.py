@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftpanel.functions.categories import categorise, plain
 from driftpanel.operators import assoc, chartdata, compose, infer, ols, residual, sample
 from driftpanel.operators.reshape import transpose
 from driftpanel.plans import block, tract
@@ -14,8 +15,12 @@ from driftpanel.plans.spec import (
     ALL_SCENARIOS,
     BLOCK_SCENARIOS,
     BUFFERS,
+    GROWTH_LABELS,
+    QUARTILE_LABELS,
+    SCENARIO_ORDER,
     SEASONS,
     PanelSpec,
+    tercile_labels,
 )
 from driftpanel.session import commit, materialize, scope
 from driftpanel.sources.tables import write_csv
@@ -23,6 +28,23 @@ from driftpanel.sources.tables import write_csv
 Tables = dict[str, DataFrame]
 
 
+#: Tables of a row per unit; the others are summaries, shown in the order of their categories.
+_UNIT_ROWS = ("analysis", "demographics", "trajectories")
+
+
+def _in_order(tables: Tables, levels: Mapping[str, Sequence[str]]) -> Tables:
+    """Summaries sorted by the places of their labels in ``levels``, not by the alphabet."""
+    out = {}
+    for name, table in tables.items():
+        own = [c for c in levels if c in table.columns]
+        if own and name not in _UNIT_ROWS:
+            for c in own:
+                table = categorise(table, c, levels[c])
+            table = plain(table, then=[c for c in ("point",) if c in table.columns])
+        out[name] = table
+    return out
+
+
 def _baseline(wide: DataFrame, spec: PanelSpec) -> DataFrame:
     return ols.with_slope_p(ols.ols_by_stratum(wide, spec.y_base, spec.x_base, spec.strata))
 
@@ -55,7 +77,7 @@ def block_tables(long: DataFrame, spec: PanelSpec) -> Tables:
     growing = rows.filter(F.col(spec.season) == SEASONS[1])
     by_buffer = block.change_by_buffer(growing, spec)
     differences = infer.tukey_differences(growing, "change", spec.buffer, BUFFERS)
-    return {
+    tables = {
         "regression_coefficients": _baseline(wide, spec),
         "change_summary": block.change_summary(rows, spec.strata, spec.label_digits),
         "transitions": block.transition_table(rows, spec.strata),
@@ -70,6 +92,7 @@ def block_tables(long: DataFrame, spec: PanelSpec) -> Tables:
         "analysis": rows,
         **_chart_data(rows, spec, 500, 0.01, 0.05),
     }
+    return _in_order(tables, {"scenario": SCENARIO_ORDER, "dens_q": QUARTILE_LABELS})
 
 
 def scenario_tables(long: DataFrame, spec: PanelSpec) -> Tables:
@@ -126,7 +149,10 @@ def tract_tables(
         columns = [f"mean_{c}" for p in spec.periods for c in compose.share_columns(groups, p)]
         return chartdata.composition_long(by_quartile, ["growth_q"], columns, spec.periods)
 
-    return {
+    faceted = ["scenario", "tercile"]
+    in_first, in_second = (b.filter(F.col("tercile").isNotNull()) for b in (first_bins, second_bins))
+    terciles = (*tercile_labels(share), *tercile_labels(label))
+    tables = {
         "regression_coefficients": _baseline(rows, spec),
         "change_summary": block.change_summary(rows, spec.strata, spec.label_digits),
         "transitions": block.transition_table(rows, spec.strata),
@@ -152,12 +178,18 @@ def tract_tables(
         "composition_summary": tract.composition_summary(demo, age_groups, race_groups, spec),
         "race_by_growth": shown(race_groups),
         "age_by_growth": shown(age_groups),
-        "box_change_by_tercile": chartdata.boxplot_stats(
-            first_bins.filter(F.col("tercile").isNotNull()), "change", ["scenario", "tercile"]
+        "box_change_by_tercile": chartdata.boxplot_stats(in_first, "change", faceted),
+        "box_change_by_second_tercile": chartdata.boxplot_stats(in_second, "change", faceted),
+        "box_baseline_by_tercile": chartdata.boxplot_stats(in_first, spec.y_base, faceted),
+        "line_change_by_growth_and_tercile": chartdata.smooth_line(
+            in_first, "change", "delta_hu", faceted, confidence=0.95
         ),
         "analysis": rows,
         **_chart_data(rows, spec, 400, 0.005, 0.02),
     }
+    return _in_order(
+        tables, {"scenario": SCENARIO_ORDER, "tercile": terciles, "growth_q": GROWTH_LABELS}
+    )
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:

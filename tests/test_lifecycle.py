@@ -227,5 +227,8 @@ def test_block_report_values(spark):
     assert {round(r.median, 12) for r in box} == {round(float(np.median(change)), 12)}
     test = out["season_t_test"].collect()[0]
     assert test["n"] == units and test["mean_diff"] == pytest.approx(0.0, abs=1e-12)
+    assert [r.scenario for r in out["densification"].collect()] == ["Dormant 1000 m", "Growing 500 m", "Growing 1000 m", "Growing 2000 m"]
+    quarters = [r.dens_q for r in out["transition_risk"].where("scenario = 'Growing 500 m'").collect()]
+    assert quarters == ["Q1 (least)", "Q2", "Q3", "Q4 (most)"]
     risk = out["transition_risk"].groupBy("scenario").agg(F.sum("n_bright").alias("n"), F.sum("n_went_dim").alias("d")).collect()
     assert {(r.n, r.d) for r in risk} == {(int(bright[0].sum()), want["Bright -> Dim"])}
