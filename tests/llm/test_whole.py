@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from driftpanel.llm import license_scan, link_graph, secret_scan, toxicity
+from driftpanel.llm import license_scan, link_graph, secret_scan, substring_dedup, toxicity
 
 
 def test_op4_many_seeds(spark):
@@ -148,3 +148,37 @@ def test_op9_repeated_licences(spark):
     whole = [r for r in found if r.license in texts]
     assert sorted(r.license for r in whole) == ["Apache-2.0-text"] * 12 + ["MIT-text"] * 3
     assert min(r.dice for r in whole) >= 0.99 and len({r.unit for r in whole}) == 15
+
+
+@pytest.mark.parametrize("kind", ["prose", "lines", "flat"])
+def test_op1_recall_of_copied_passages(spark, kind):
+    """Passages of 51 to 100 words in prose, in lines of six words, and without any punctuation: nine
+    tenths of the words are found (four fifths without punctuation), and nothing far outside of them."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(6000)]
+
+    def make(n):
+        if kind == "flat":
+            return " ".join(rng.choice(vocabulary, n))
+        if kind == "lines":
+            return "\n" + "\n".join(" ".join(rng.choice(vocabulary, 6)) for _ in range(n // 6)) + "\n"
+        out = []
+        while len(out) < n:
+            out += rng.choice(vocabulary, rng.integers(5, 22)).tolist()
+            out[-1] += "."
+        return " ".join(out)
+
+    rows, spans = [], []
+    for i in range(40):
+        passage = make([51, 60, 72, 100][i % 4])
+        for k in (0, 1):
+            before = make(120)
+            rows.append((2 * i + k, f"{before} {passage} {make(120)}"))
+            spans.append((len(before) + 1, len(before) + 1 + len(passage)))
+    found = [set() for _ in rows]
+    for r in substring_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].update(range(r.start, r.end))
+    inside = [len(f & set(range(*s))) for f, s in zip(found, spans, strict=True)]
+    assert sum(inside) >= (0.8 if kind == "flat" else 0.9) * sum(b - a for a, b in spans)
+    assert sum(x > 0 for x in inside) >= 0.95 * len(rows)
+    assert sum(map(len, found)) - sum(inside) <= 0.02 * sum(inside)
