@@ -123,7 +123,9 @@ def fit(
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (toxic - expected) ** 2 / (expected * (1 - rate) * (1 - times / n))
     used = np.flatnonzero((times >= LEAST_TEXTS) & (np.nan_to_num(chi2, posinf=1e9) >= LEAST_CHI2))
-    place = np.full(1 << BITS, -1)
+    # The largest arrays of the fit; they must not stand beside those of the next lines.
+    del row, number, times, toxic, expected, chi2
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
 
     def kept(lists):

@@ -100,13 +100,13 @@ def test_op9_wrapped(spark):
 @pytest.mark.parametrize(
     "text",
     [
-        "x = y\n" * 400_000,
-        "password = abcdefgh1Z\n" * 100_000,
+        "x = y\n" * 100_000,
+        "password = abcdefgh1Z\n" * 50_000,
         "key = -----BEGIN RSA-----\n" * 100_000,
         "key = -----BEGIN RSA-----\n-----END foo\n" * 50_000,
-        "k = v + " * 300_000,
+        "k = v + " * 150_000,
         "token = token + 'aB3'\n" * 100_000,
-        "password = " + "'aB3dEf' + " * 200_000,
+        "password = " + "'aB3dEf' + " * 100_000,
         "(" * 500_000 + "]" * 500_000,
         "token = [" * 150_000 + " 'Zx81kPq02Lm' " + "]" * 150_000,
         "[ password = 'Zx81kPq02Lm'\n" * 70_000,
